@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, linededup, mixture, simhash, toxicity, vafile, warc
+from factloom.llm import ann, bpe, linededup, mixture, pii, simhash, toxicity, vafile, warc
 from factloom.session import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "text", F.to_json("surrogates").alias("surrogates"))
+
+
 def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -56,7 +60,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("first_position", 6) + F.lit(0.0)).alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_graph, op3_bpe_roundtrip, op4_toxicity, op5_line_dedup, op6_simhash, op7_warc, op9_exact_topk, op10_source_mixture)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_vector_graph, op3_bpe_roundtrip, op4_toxicity, op5_line_dedup, op6_simhash, op7_warc, op9_exact_topk, op10_source_mixture)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A SHA-1 in hexadecimal to base 32: its 160 bits, five at a time.
