@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, linededup, mixture, pii, simhash, toxicity, vafile, warc
+from factloom.llm import ann, bpe, linededup, lm, mixture, pii, simhash, toxicity, vafile, warc
 from factloom.session import table
 
 
@@ -50,6 +50,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), parts=7, part=2)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vafile.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
@@ -60,7 +64,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("first_position", 6) + F.lit(0.0)).alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_vector_graph, op3_bpe_roundtrip, op4_toxicity, op5_line_dedup, op6_simhash, op7_warc, op9_exact_topk, op10_source_mixture)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_vector_graph, op3_bpe_roundtrip, op4_toxicity, op5_line_dedup, op6_simhash, op7_warc, op8_pitman_yor_lm, op9_exact_topk, op10_source_mixture)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A SHA-1 in hexadecimal to base 32: its 160 bits, five at a time.
