@@ -217,6 +217,41 @@ def http_error(status: Column, gone_closes: bool = True) -> Column:
     return F.when(code.isNotNull(), F.struct(code.alias("code"), ((status == 429) | (status >= 500)).alias("retryable")))
 
 
+#: What a safe profile must not hold.
+DIRECT_PII = (r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"(?:\+?81[-\s]?)?0\d{1,4}[-\s]\d{1,4}[-\s]\d{3,4}", r"〒?\d{3}-\d{4}", r"https?://")
+#: Industries by words, first match.
+INDUSTRIES = (
+    ("IT・Web・AI・EC", r"software|engineer|developer|product|web|AI|machine learning|data|e.?commerce|IT|システム|エンジニア|開発|プロダクト"), ("ITコンサル・HR・人事", r"consult|human resources|recruit|talent|人事|採用|コンサル"),
+    ("製造", r"製造|工場|機械|電機|自動車|manufactur"), ("金融", r"銀行|証券|保険|金融|financ|bank"), ("小売", r"小売|販売|店舗|retail|store"), ("物流", r"物流|倉庫|配送|運送|logistics"),
+    ("ホテル・観光", r"ホテル|宿泊|観光|旅館|hospitality"), ("介護・医療", r"介護|看護|福祉|care|nurs"),
+)
+
+
 def no_direct_pii(text: Column) -> Column:
-    """Whether a profile text has none of: mail address, phone number, postal code, residence card number."""
-    return ~matches(text, r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}") & ~matches(text, r"(?<!\d)0\d{1,4}-\d{1,4}-\d{3,4}(?!\d)") & ~matches(text, r"〒?\b\d{3}-\d{4}\b") & ~matches(text, r"\b[A-Z]{2}\d{8}[A-Z]{2}\b")
+    """Whether a profile text has no mail address, phone number, postal code or URL."""
+    return ~matches(text, "|".join(DIRECT_PII))
+
+
+def industry(text: Column) -> Column:
+    return first_match(text, INDUSTRIES, "その他")
+
+
+def place_bucket(text: Column) -> Column:
+    pref = F.trim(F.regexp_extract(text, "(北海道|東京都|大阪府|京都府|.{2,3}県)", 1))
+    return F.when(pref != "", pref).when(matches(text, "Japan remote|日本全国|国内.*リモート|全国.*リモート"), "日本国内リモート").otherwise("日本・都道府県未分類")
+
+
+def company_status(active_sources: Column, fetched: Column, secure: Column, unsupported: Column, links: Column) -> Column:
+    """The end of a company's promotion, first that holds."""
+    return case((active_sources > 0, "promoted_active"), (~fetched, "unreachable"), (~secure, "insecure_source"), (unsupported > 0, "unsupported_source"), (links > 0, "unstructured_career_page"), otherwise="verified_no_current_job")
+
+
+def link_score(url: Column, known_platform: Column) -> Column:
+    """How much a link looks like a list of jobs: 1000 on a known platform, else points for and against."""
+    text = F.lower(F.concat(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), F.coalesce(F.try_url_decode(F.try_parse_url(url, F.lit("PATH"))), F.lit(""))))
+    points = ((r"/(jobs?|positions?|job-offers?)(/|$)", 100), (r"career|recruit|採用|求人|募集", 40), (r"guideline|requirement|recruitment|detail|information", 25),
+              (r"contact|entry|interview|message|about|welfare|faq|voice|member|data|environment|privacy|news|blog|twitter|facebook", -60), (r"\.(pdf|jpg|jpeg|png)$", -100))
+    total = F.lit(0)
+    for pattern, n in points:
+        total = total + F.when(text.rlike(pattern), n).otherwise(0)
+    return F.when(known_platform, 1000).otherwise(total)
