@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_for, checkpointed, shared_dir
+from factloom.llm.common import checkpointed, shared_dir
 
 #: The frame that holds a dictionary, the revisit profile, and the date that all records bear.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -98,11 +98,12 @@ class Archive:
         return self.path, self.records, self.fs.get_file_info(self.path).size
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "html", min_bytes: int = 0, per_archive: int = 20_000, archive_bytes: int = ARCHIVE) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, payload); returns archive, records and bytes of each file.
 
     The payload is the column in UTF-8; null is empty. Payloads of fewer than min_bytes are never revisits. Rows
     with equal page_id and payload are all responses or revisit the same one; a null page_id comes after all others.
+    Pages are shuffled once, by the join that tells revisits; each task of it writes its own archives.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -112,9 +113,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
     small = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "sha1")
     firsts = small.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisits = small.join(firsts, "sha1").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "first").distinct()
-    files = blocks_for(pages.count(), per_archive, 12)
     joined = rows.join(revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left").select("page_id", "url", "html", "sha1", "first")
-    spread = joined.repartition(files, F.xxhash64("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -132,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=["archive", "records", "bytes"])
 
-    return checkpointed(spread.mapInArrow(run, MANIFEST)).withColumn("archive", F.concat(F.lit(folder), F.regexp_replace("archive", "^.*/", "/")))
+    return checkpointed(joined.mapInArrow(run, MANIFEST)).withColumn("archive", F.concat(F.lit(folder), F.regexp_replace("archive", "^.*/", "/")))
 
 
 def read_records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
