@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.rules import all_matches, case, first_match
+from factloom.functions.rules import all_matches, case, first_match, once
 from factloom.functions.text import JS_SPACE, js, matches
 
 #: The prefectures.
@@ -92,11 +92,13 @@ def prefecture(text: Column) -> Column:
 
 def location(text: Column) -> Column:
     """struct(country, prefecture, city, address, remote_scope), or null if the text is no place."""
-    address = F.trim(F.regexp_replace(text, f"[{JS_SPACE}]+", " "))
+    return once(F.trim(F.regexp_replace(text, f"[{JS_SPACE}]+", " ")), _location)
+
+
+def _location(address: Column) -> Column:
     country, pref = country_code(address), prefecture(address)
-    rest = F.when(F.contains(address, pref), F.substring_index(address, pref, -1)).otherwise(address)
     after = F.when(F.contains(address, pref), F.substr(address, F.position(pref, address) + F.char_length(pref), F.char_length(address))).otherwise(F.substr(address, F.char_length(pref), F.char_length(address)))
-    city = F.nullif(F.regexp_extract(F.coalesce(after, rest), js(r"^\s*([^\s,，]{1,20}?(?:市|区|町|村|郡))"), 1), F.lit(""))
+    city = F.nullif(F.regexp_extract(after, js(r"^\s*([^\s,，]{1,20}?(?:市|区|町|村|郡))"), 1), F.lit(""))
     fully = matches(address, r"フルリモート|完全在宅|fully\s+remote|remote[- ]first")
     some = fully | matches(address, "リモート|在宅|自宅|telecommute|remote")
     in_japan = (fully & ~matches(address, "worldwide|global|海外|国外")) | matches(address, "国内|日本全国|全国どこでも")
@@ -119,7 +121,10 @@ def _man(text: Column, pattern: str, whole: int) -> Column:
 
 def compensation(text: Column) -> Column:
     """array of struct(kind, currency, period, minimum, maximum, calculated): the first period named with an amount near it."""
-    compact = F.regexp_replace(text, f"[{JS_SPACE}]+", " ")
+    return once(F.regexp_replace(text, f"[{JS_SPACE}]+", " "), _compensation)
+
+
+def _compensation(compact: Column) -> Column:
     trial = matches(compact, "試用|研修|trial")
 
     def pay(period: str, low: Column, high: Column) -> Column:
@@ -152,7 +157,8 @@ def annual_maximum(pay: Column) -> Column:
 
 def languages(text: Column, requirement: Column) -> Column:
     """array of struct(language, level, requirement)."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(js(p)), 1), lambda m, c=code: F.struct(F.lit(c).alias("language"), F.nullif(F.regexp_extract(m, js(LEVEL), 1), F.lit("")).alias("level"), requirement.alias("requirement"))) for code, p in LANGUAGES]
+    one = lambda code: lambda m: F.struct(F.lit(code).alias("language"), F.nullif(F.regexp_extract(m, js(LEVEL), 1), F.lit("")).alias("level"), requirement.alias("requirement"))
+    each = [F.transform(F.regexp_extract_all(text, F.lit(js(p)), 1), one(code)) for code, p in LANGUAGES]
     return F.array_distinct(F.concat(*each))
 
 

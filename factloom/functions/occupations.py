@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.rules import all_matches, matched_numbers
+from factloom.functions.rules import all_matches, matched_numbers, once
 from factloom.functions.text import matches
 
 VERSION = "occupation-taxonomy-v1"
@@ -123,19 +123,30 @@ def classify(title: Column, description: Column) -> Column:
     matches none, and if their rules are of one family. The first rule is primary; at most two more families follow.
     """
     patterns = [p for _, _, p in RULES]
-    table = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(r).alias("role")) for f, r, _ in RULES])
-    pick = lambda numbers: F.transform(numbers, lambda i: F.get(table, i))
-    by_title = pick(matched_numbers(title, patterns))
-    by_text = pick(matched_numbers(F.substring(F.coalesce(description, F.lit("")), 1, 600), patterns))
-    one_family = F.size(F.array_distinct(F.transform(by_text, lambda x: x["family"]))) == 1
-    use_text = (F.size(by_title) == 0) & matches(title, GENERIC) & one_family
-    found = F.when(F.size(by_title) > 0, by_title).when(use_text, by_text).otherwise(F.array(F.struct(F.lit("other").alias("family"), F.lit("other_unclassified").alias("role"))))
-    primary = F.get(found, 0)
-    families = F.array_distinct(F.transform(found, lambda x: x["family"]))
-    others = F.slice(F.filter(families, lambda f: f != primary["family"]), 1, 2)
-    secondary = F.transform(others, lambda f: F.get(F.filter(found, lambda x: x["family"] == f), 0))
     tags = all_matches(F.concat_ws("\n", title, F.coalesce(description, F.lit(""))), SPECIALTIES)
-    confidence = F.when(F.size(by_title) > 0, "high").when(use_text, "medium").otherwise("low")
+
+    def by_title(found: Column) -> Column:
+        text = F.when((F.size(found) == 0) & matches(title, GENERIC), F.substring(F.coalesce(description, F.lit("")), 1, 600)).otherwise("")
+        return once(matched_numbers(text, patterns), lambda other: chosen(found, other))
+
+    def chosen(found: Column, other: Column) -> Column:
+        family = lambda numbers: F.transform(numbers, lambda i: F.get(F.lit(_FAMILY_OF), i))
+        use = (F.size(found) == 0) & (F.size(F.array_distinct(family(other))) == 1)
+        numbers = F.when(F.size(found) > 0, found).when(use, other).otherwise(F.array(F.lit(len(RULES))))
+        confidence = F.when(F.size(found) > 0, "high").when(use, "medium").otherwise("low")
+        return once(F.transform(numbers, lambda i: F.struct(F.get(F.lit(_FAMILY_OF), i).alias("family"), F.get(F.lit(_ROLE_OF), i).alias("role"))), lambda rules: _selection(rules, tags, confidence))
+
+    return once(matched_numbers(title, patterns), by_title)
+
+
+_FAMILY_OF, _ROLE_OF = [f for f, _, _ in RULES] + ["other"], [r for _, r, _ in RULES] + ["other_unclassified"]
+
+
+def _selection(rules: Column, tags: Column, confidence: Column) -> Column:
+    primary = F.get(rules, 0)
+    families = F.array_distinct(F.transform(rules, lambda x: x["family"]))
+    others = F.slice(F.filter(families, lambda f: f != primary["family"]), 1, 2)
+    secondary = F.transform(others, lambda f: F.get(F.filter(rules, lambda x: x["family"] == f), 0))
     return F.struct(primary["family"].alias("family"), primary["role"].alias("role"), secondary.alias("secondary"), tags.alias("tags"), confidence.alias("confidence"))
 
 
@@ -145,6 +156,10 @@ def all_families(occupation: Column) -> Column:
 
 def role_weight(occupation: Column, priorities: dict[str, float]) -> Column:
     """The largest weight of the occupation's families, roles and aliases; 0 without."""
+    return once(occupation, lambda o: _weight(o, priorities))
+
+
+def _weight(occupation: Column, priorities: dict[str, float]) -> Column:
     of = F.create_map(*[x for k, v in priorities.items() for x in (F.lit(k), F.lit(float(v)))]) if priorities else F.create_map().cast("map<string,double>")
     chosen = F.concat(F.array(F.struct(occupation["family"].alias("family"), occupation["role"].alias("role"))), occupation["secondary"])
     role, tags = occupation["role"], occupation["tags"]

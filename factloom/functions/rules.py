@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,3 +30,8 @@ def matched_numbers(text: Column, patterns: Sequence[str], per: int = 24) -> Col
 def case(*rules: tuple[Column, object], otherwise: object = None) -> Column:
     """The value of the first condition that holds."""
     return F.coalesce(*[F.when(c, F.lit(v)) for c, v in rules], F.lit(otherwise))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f uses it, and outside of the generated method of its stage."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), 0)

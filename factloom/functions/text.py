@@ -16,9 +16,18 @@ LEGAL_FORMS = r"株式会社|有限会社|合同会社|inc\.?|ltd\.?|corp\.?"
 def js(pattern: str, ignore_case: bool = True) -> str:
     """A pattern for Java's engine with JavaScript's ASCII word boundaries and wide white space."""
     word = "A-Za-z0-9_"
-    bounds = f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
-    out = pattern.replace(r"\b", bounds).replace(r"[^\s", f"[^{JS_SPACE}").replace(r"[\s", f"[{JS_SPACE}").replace(r"\s", f"[{JS_SPACE}]").replace(f"[{JS_SPACE}" + "]" + "\\u00a0", f"[{JS_SPACE}")
-    return ("(?iu)" if ignore_case else "") + out
+    bound = f"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two[0] == "\\":
+            out.append({"\\s": JS_SPACE if inside else f"[{JS_SPACE}]", "\\b": two if inside else bound}.get(two, two))
+            i += 2
+            continue
+        inside = two[0] == "[" or (inside and two[0] != "]")
+        out.append(two[0])
+        i += 1
+    return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -24,10 +24,10 @@ def once(stream: DataFrame, key: str, delay: str = "3 days") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def daily_metrics(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Counts by Tokyo day, which begins at 15:00 UTC."""
+def daily_metrics(stream: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """Counts by Tokyo day, which begins at 15:00 UTC. delay: none if the stream has its watermark already."""
     day = F.window("ts", "1 day", "1 day", "15 hours")
-    counted = stream.withWatermark("ts", delay).groupBy(day.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    counted = (stream.withWatermark("ts", delay) if delay else stream).groupBy(day.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counted.select(F.to_date(F.col("w.start") + F.expr("interval 9 hours")).alias("day"), "event_type", "n", "total")
 
 
