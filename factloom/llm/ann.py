@@ -105,6 +105,8 @@ class Graph:
                     out[at + take, kept[take]] = ids[take, c]
                     kept[take] += 1
                     alive[take] &= relax * between[take, c] > d[take]
+                elif (kept >= self.degree).all():
+                    break
         return out
 
     def reverse(self, group: np.ndarray) -> None:
