@@ -126,8 +126,9 @@ def classify(title: Column, description: Column) -> Column:
     tags = all_matches(F.concat_ws("\n", title, F.coalesce(description, F.lit(""))), SPECIALTIES)
 
     def by_title(found: Column) -> Column:
-        text = F.when((F.size(found) == 0) & matches(title, GENERIC), F.substring(F.coalesce(description, F.lit("")), 1, 600)).otherwise("")
-        return once(matched_numbers(text, patterns), lambda other: chosen(found, other))
+        text = F.when((F.size(found) == 0) & matches(title, GENERIC), F.substring(F.coalesce(description, F.lit("")), 1, 600))
+        none = F.array().cast("array<int>")
+        return once(once(text, lambda x: F.when(x.isNull(), none).otherwise(matched_numbers(x, patterns))), lambda other: chosen(found, other))
 
     def chosen(found: Column, other: Column) -> Column:
         family = lambda numbers: F.transform(numbers, lambda i: F.get(F.lit(_FAMILY_OF), i))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +20,9 @@ def all_matches(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(js(p)), F.lit(v)) for v, p in rules])))
 
 
-def matched_numbers(text: Column, patterns: Sequence[str], per: int = 24) -> Column:
-    """Numbers (from 0) of the patterns that the text matches. In parts, so that no generated method grows too large."""
-    parts = [F.array_compact(F.array(*[F.when(text.rlike(js(p)), F.lit(i)) for i, p in list(enumerate(patterns))[a : a + per]])) for a in range(0, len(patterns), per)]
-    return reduce(lambda a, b: F.concat(a, b), parts)
+def matched_numbers(text: Column, patterns: Sequence[str]) -> Column:
+    """Numbers (from 0) of the patterns that the text matches."""
+    return F.array_compact(F.array(*[F.when(text.rlike(js(p)), F.lit(i)) for i, p in enumerate(patterns)]))
 
 
 def case(*rules: tuple[Column, object], otherwise: object = None) -> Column:

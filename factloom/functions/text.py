@@ -27,7 +27,8 @@ def js(pattern: str, ignore_case: bool = True) -> str:
         inside = two[0] == "[" or (inside and two[0] != "]")
         out.append(two[0])
         i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
+    cased = any(c.lower() != c.upper() for c in pattern if not c.isascii())  # the wide form costs time, and only they need it
+    return ("(?iu)" if cased else "(?i)" if ignore_case else "") + "".join(out)
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -61,16 +61,24 @@ def any_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return union.groupBy(left_key, right_key).agg(F.min("matched_by").alias("matched_by"))
 
 
-def longest_contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, least: int = 4, most_names: int = 100_000) -> DataFrame:
-    """Each text's longest name that it contains (ties: the first by code point); names shorter than `least` don't count.
+def contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, least: int = 4, few: int = 1000) -> DataFrame:
+    """key, name: the names (of `least` characters or more) that each text contains.
 
-    Names are looked up by their first `least` characters at every place of the text, so the join is an equi-join.
+    A list of at most `few` names goes to every task. A longer one is looked up by the names' first characters at every
+    place of the text, so that the join is an equi-join.
     """
-    usable = names.select(F.col(name).alias("_name")).where(F.char_length("_name") >= least).distinct().withColumn("_gram", F.substring("_name", 1, least))
-    places = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - least + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(least)))))
-    grams = texts.select(key, places.alias("_gram"))
-    found = grams.join(usable, "_gram").join(texts.select(key, text), key).where(F.contains(text, "_name"))
-    return found.groupBy(key).agg(F.min_by("_name", F.struct(-F.char_length("_name"), "_name")).alias(name))
+    usable = names.select(F.col(name)).where(F.char_length(name) >= least).distinct()
+    if usable.limit(few + 1).count() <= few:
+        return texts.select(key, text).join(F.broadcast(usable), F.contains(F.col(text), F.col(name))).select(key, name)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - least + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(least))))
+    near = texts.select(key, F.explode(places).alias("_gram")).join(usable.withColumn("_gram", F.substring(name, 1, least)), "_gram").select(key, name)
+    return near.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col(name))).select(key, name)
+
+
+def longest_contained(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, least: int = 4, few: int = 1000) -> DataFrame:
+    """Each text's longest name that it contains (ties: the first by code point); names shorter than `least` don't count."""
+    found = contained(texts, names, key, text, name, least, few)
+    return found.groupBy(key).agg(F.min_by(name, F.struct(-F.char_length(name), name)).alias(name))
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:

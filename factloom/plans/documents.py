@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import retrieval
+from factloom.operators import combine, retrieval
 from factloom.plans.catalog import query
 from factloom.session import table as t
 from factloom.sources import html
@@ -51,9 +51,8 @@ def chunked(docs: DataFrame, key: str, text: str, most: int = html.MAX_SECTION)
     WITH c AS (SELECT doc_id AS section_id, field, quote, raw_value FROM documents, (SELECT CASE WHEN item_id % 2 = 0 THEN 'skills' ELSE 'other' END AS field, text AS quote, substr(text, 1, 10) AS raw_value FROM benchmark))
     SELECT section_id, quote, raw_value FROM c JOIN documents d ON d.doc_id = section_id WHERE field = 'skills' AND contains(d.text, quote)""")
 def quote_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Which documents quote which benchmark items word for word. Candidates come from a join on the items' first five words."""
+    """Which documents quote which benchmark items word for word."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("section_id"), "text")
     items = t(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "skills").otherwise("other").alias("field"), F.col("text").alias("quote"), F.substring("text", 1, 10).alias("raw_value")).where("field = 'skills'")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 23, F.lit(1))), lambda i: F.substr("text", i, F.lit(24))))
-    near = docs.select("section_id", F.explode(grams).alias("g")).join(items.withColumn("g", F.substring("quote", 1, 24)), "g").drop("g")
+    near = combine.contained(docs, items, "section_id", "text", "quote").join(items, "quote")
     return retrieval.valid_quotes(near, docs, ["skills"]).select("section_id", "quote", "raw_value")

@@ -158,7 +158,7 @@ def lease_claim(spark: SparkSession, d: str) -> DataFrame:
 def completion_guard(spark: SparkSession, d: str) -> DataFrame:
     """Orders whose evidence is complete: as many suppliers as items, and all joins match."""
     full = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_suppkey").alias("a"), F.count(F.lit(1)).alias("b")).where("a = b")
-    people = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation").where("n_regionkey = 1")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"))
+    people = t(spark, d, "customer").join(t(spark, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"))
     return t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(people, "o_custkey", "left_semi").join(full, "o_orderkey", "left_semi").select("o_orderkey")
 
 

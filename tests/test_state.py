@@ -197,6 +197,7 @@ def test_entities_chain(spark):
 def test_containment_and_any_key(spark):
     texts = spark.createDataFrame([(1, "we at Acme Robotics build"), (2, "none")], "id int, t string")
     names = spark.createDataFrame([("Acme",), ("Acme Robotics",), ("abc",)], "n string")
-    assert [tuple(r) for r in combine.longest_contained(texts, names, "id", "t", "n").collect()] == [(1, "Acme Robotics")]
+    for few in (1000, 0):
+        assert [tuple(r) for r in combine.longest_contained(texts, names, "id", "t", "n", few=few).collect()] == [(1, "Acme Robotics")]
     a, b = spark.createDataFrame([(1, "x", None)], "l int, p string, q string"), spark.createDataFrame([(9, "x", None), (8, "y", None)], "r int, p2 string, q2 string")
     assert [tuple(r) for r in combine.any_key_join(a, b, "l", "r", [("q", "q2"), ("p", "p2")]).collect()] == [(1, 9, 2)]
