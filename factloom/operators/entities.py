@@ -7,14 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage: in the shared checkpoint folder, or in memory where none is set, as in tests."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    kept = df.cache()
-    kept.count()
-    return kept
+from factloom.operators.ranking import kept
 
 
 def resolve(records: DataFrame, id_: str, keys: Sequence[str]) -> DataFrame:
@@ -26,12 +19,12 @@ def resolve(records: DataFrame, id_: str, keys: Sequence[str]) -> DataFrame:
     entities when no record bridges two of them; a bridge joins them here, whatever came first.
     """
     pairs = records.select(id_, F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v"))) for k in keys]))).alias("x")).select(id_, "x.k", "x.v")
-    pairs = _kept(pairs)
+    pairs = kept(pairs)
     labels = records.select(id_, F.col(id_).alias("entity"))
     while True:
         at_value = pairs.join(labels, id_).groupBy("k", "v").agg(F.min("entity").alias("low"))
         new = pairs.join(at_value, ["k", "v"]).groupBy(id_).agg(F.min("low").alias("low"))
-        moved = _kept(labels.join(new, id_, "left").select(id_, F.coalesce(F.least("entity", "low"), "entity").alias("entity"), (F.col("low") < F.col("entity")).alias("moved")))
+        moved = kept(labels.join(new, id_, "left").select(id_, F.coalesce(F.least("entity", "low"), "entity").alias("entity"), (F.col("low") < F.col("entity")).alias("moved")))
         labels = moved.select(id_, "entity")
         if not moved.where("moved").limit(1).count():
             return records.join(labels, id_)

@@ -95,9 +95,32 @@ def quota_per_kind(df: DataFrame, kind: str, kinds: Sequence[str], most: int, or
     return few.orderBy(place, *order).limit(most)
 
 
+def global_rank(df: DataFrame, *order: Column, partitions: int | None = None, name: str = "rank") -> DataFrame:
+    """df with each row's place (from 1, long) in one order of all rows, without sorting them in one task.
+
+    Rows are kept (the range partitioning reads them twice, to sample and to deal), range-partitioned by the order and
+    kept again; each partition numbers its own rows and adds the rows of the partitions before it, one number a partition.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = kept(kept(df).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.withColumn("_i", inside).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut off from its lineage: in the shared checkpoint folder, or in memory where none is set, as in tests."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    held = df.cache()
+    held.count()
+    return held
+
+
 def ranked_by_score(df: DataFrame, score: str, title: str, key: str, collation: str = "UNICODE") -> DataFrame:
-    """rank from 1: score falling, title by collation, key. One task sorts; the input is a result list, not a corpus."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.collate(F.col(title), collation), key)))
+    """rank from 1: score falling, title by collation, key."""
+    return global_rank(df, F.desc(score), F.collate(F.col(title), collation), F.col(key))
 
 
 def rotate(values: Sequence[str], seed: int) -> list[str]:
@@ -107,10 +130,11 @@ def rotate(values: Sequence[str], seed: int) -> list[str]:
 
 
 def latency_percentiles(df: DataFrame, value: str) -> DataFrame:
-    """p50 and p95 by index into the sorted values: floor(n * 0.5) and ceil(n * 0.95) - 1."""
-    n = F.count(F.lit(1))
-    # two order statistics of the whole column by selection, not by sorting it in one task
-    return df.where(F.col(value).isNotNull()).agg(n.alias("n"), F.array_sort(F.collect_list(value)).alias("v")).select("n", F.get("v", F.floor(F.col("n") * 0.5).cast("int")).alias("p50"), F.get("v", (F.ceil(F.col("n") * 0.95) - 1).cast("int")).alias("p95"))
+    """n, p50 and p95 by place in the sorted values (from 0): floor(n * 0.5) and ceil(n * 0.95) - 1."""
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(value), F.col(value))
+    total = ranked.agg(F.count(F.lit(1)).alias("n"))
+    at = lambda place: F.max(F.when(F.col("rank") == place + 1, F.col(value)))
+    return ranked.join(F.broadcast(total)).groupBy("n").agg(at(F.floor(F.col("n") * 0.5)).alias("p50"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
 
 
 def to_pandas_report(df: DataFrame, most: int = 1000) -> pd.DataFrame:

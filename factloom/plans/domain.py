@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates, jobs, occupations
 from factloom.operators import facts, scoring
+from factloom.operators.ranking import global_rank
 from factloom.plans.catalog import query
 from factloom.plans.scalars import part_title
 from factloom.session import table as t
@@ -161,14 +162,12 @@ def _now() -> Column:
         CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END AS location_remote, CASE WHEN c_custkey % 6 > 1 THEN 5 ELSE 0 END AS employment, CASE WHEN c_custkey % 10 >= 5 THEN 5 ELSE 2 END AS compensation, CASE WHEN c_custkey % 4 <> 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END AS freshness_source FROM customer),
     y AS (SELECT k, (role_direction + skills + language + recruitment_channel + location_remote + employment + compensation + freshness_source)::INTEGER AS score, k % 13 <> 0 AND k % 4 <> 0 AND k % 6 > 1 AND k % 3 = 0 AS eligible,
         array_to_string(list_filter([CASE WHEN k % 13 = 0 THEN 'job_not_active' END, CASE WHEN k % 4 = 0 THEN 'no_verified_official_source' END, CASE WHEN k % 6 = 0 THEN 'employment_unresolved' END, CASE WHEN k % 6 = 1 THEN 'explicitly_excluded_employment' END, CASE WHEN k % 3 <> 0 THEN 'explicit_location_conflict' END], lambda v: v IS NOT NULL), ',') AS hard_rejects FROM x)
-    SELECT k AS c_custkey, score, eligible, hard_rejects, row_number() OVER (ORDER BY score DESC, k)::INTEGER AS rank FROM y""")
+    SELECT k AS c_custkey, score, eligible, hard_rejects, row_number() OVER (ORDER BY score DESC, k) AS rank FROM y""")
 def score_rank(spark: SparkSession, d: str) -> DataFrame:
     table = job_table(spark, d)
     weight = occupations.role_weight(occupations.classify(F.col("title"), F.col("description")), {"product_web_ai_engineering": 1.0})
     scored = scoring.evaluate(table, profile(), _now(), weight)
-    from pyspark.sql import Window
-
-    return scored.select("c_custkey", "score", "eligible", F.array_join("hard_rejects", ",").alias("hard_rejects"), F.row_number().over(Window.orderBy(F.desc("score"), "c_custkey")).alias("rank"))
+    return global_rank(scored.select("c_custkey", "score", "eligible", F.array_join("hard_rejects", ",").alias("hard_rejects")), F.desc("score"), F.col("c_custkey"))
 
 
 @query("SCO-03", "SCO-04", oracle="""

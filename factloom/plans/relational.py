@@ -314,7 +314,7 @@ def recall_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRT-04", "SCO-02", "SRT-08", oracle="""
     WITH s AS (SELECT c_custkey, c_name, least(100, greatest(0, floor(c_acctbal / 100)))::BIGINT AS score FROM customer)
-    SELECT row_number() OVER (ORDER BY score DESC, c_name, c_custkey)::INTEGER AS rank, c_custkey, score FROM s""")
+    SELECT row_number() OVER (ORDER BY score DESC, c_name, c_custkey) AS rank, c_custkey, score FROM s""")
 def rank_results(spark: SparkSession, d: str) -> DataFrame:
     scored = t(spark, d, "customer").select("c_custkey", "c_name", F.least(F.lit(100), F.greatest(F.lit(0), F.floor(F.col("c_acctbal") / 100))).cast("long").alias("score"))
     return ranking.ranked_by_score(scored, "score", "c_name", "c_custkey").select("rank", "c_custkey", "score")
