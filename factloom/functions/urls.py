@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.rules import once
+
 #: Parameters that say where a visitor came from.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id gclid fbclid yclid _gl source ref referrer".split()
 #: Platforms as (kind, host, path pattern, tenant, collection URL, whether a collection); $1, $2 are the pattern's groups and $0 the URL.
@@ -81,15 +83,20 @@ def host(url: Column) -> Column:
 
 def detect_source(url: Column) -> Column:
     """struct(kind, tenant, url, collection) of a URL on a known platform, else null."""
-    h, path = host(url), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("/"))
-    origin = F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), h)
-    cases = []
+    origin = F.concat(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lit("://"), host(url))
+    parts = F.struct(url.alias("url"), host(url).alias("host"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("/")).alias("path"), origin.alias("origin"))
+    return once(parts, _detect)
+
+
+def _detect(parts: Column) -> Column:
+    h, path, cases = parts["host"], parts["path"], []
     for kind, host_pattern, path_pattern, tenant, to, collection in PLATFORMS:
         groups = path_pattern.replace(r"\(", "").replace("(?", "").count("(")
+        values = {"$host": h, "$label": F.element_at(F.split(h, r"\."), 1), "$origin": parts["origin"], "$0": parts["url"]} | {f"${i}": F.regexp_extract(path, path_pattern, i) for i in range(1, groups + 1)}
 
-        def fill(template: str, groups: int = groups, path_pattern: str = path_pattern) -> Column:
+        def fill(template: str, values: dict[str, Column] = values) -> Column:
             out: Column = F.lit(template)
-            for name, value in [("$host", h), ("$label", F.element_at(F.split(h, r"\."), 1)), ("$origin", origin), ("$0", url), *[(f"${i}", F.regexp_extract(path, path_pattern, i)) for i in range(1, groups + 1)]]:
+            for name, value in values.items():
                 if name in template:
                     out = F.replace(out, F.lit(name), value)
             return out

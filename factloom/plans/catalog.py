@@ -28,7 +28,7 @@ def query(*covers: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from factloom.plans import documents, domain, relational, scalars, state  # noqa: F401
+    from factloom.plans import collect, documents, domain, relational, scalars, state  # noqa: F401
 
 
 load()

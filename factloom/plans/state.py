@@ -48,7 +48,7 @@ def ingest_leads(spark: SparkSession, d: str) -> DataFrame:
     return state.ingest(leads.union(leads.where("identity % 2 = 0")), gone).drop("company")
 
 
-@query("FIL-01", "STA-10", oracle="""
+@query("FIL-01", "FIL-02", "STA-10", oracle="""
     WITH c AS (SELECT user_id, count(*) AS n, max(ts) AS last, max(ts) FILTER (event_type = 'purchase') AS auth FROM events GROUP BY user_id)
     SELECT user_id, coalesce(user_id % 5 <> 0 AND user_id % 7 <> 0 AND user_id % 3 <> 0 AND CASE WHEN user_id % 2 = 0 THEN auth IS NOT NULL AND auth >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR ELSE n >= 2 AND last >= TIMESTAMP '2024-01-31' - INTERVAL 720 HOUR END, false) AS valid,
         coalesce(user_id % 5 <> 0 AND user_id % 7 <> 0 AND CASE WHEN user_id % 2 = 0 THEN auth IS NOT NULL AND auth >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR ELSE n >= 2 AND last >= TIMESTAMP '2024-01-31' - INTERVAL 720 HOUR END, false) AS valid_in_summary FROM c""")
@@ -179,7 +179,7 @@ def import_dry_run(spark: SparkSession, d: str) -> DataFrame:
     return exists_flag(new, old, ["o_custkey"], "known").agg(F.count_if(~F.col("known")).alias("would_insert"), F.count_if("known").alias("would_update"))
 
 
-@query("DML-07", "DML-09", "DML-10", "DAT-08", oracle="""
+@query("SNK-03", "DML-07", "DML-09", "DML-10", "DAT-08", oracle="""
     WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01')
     SELECT 'orders' AS name, count(*) AS rows FROM orders WHERE o_orderkey NOT IN (SELECT * FROM gone) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone)
     UNION ALL SELECT 'audit', count(*) FROM gone UNION ALL SELECT 'orphan_parts', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone))""")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.urls import detect_source, same_site
-from factloom.sources.html import Node, clean, job_posting, json_ld, links, location_text, parse
+from factloom.sources.html import clean, job_posting, json_ld, links, location_text, parse
 
 #: Hosts in code search, kinds with all query shards, and links that stand in scripts.
 SEARCH_HOSTS = {"greenhouse": "boards.greenhouse.io", "smartrecruiters": "jobs.smartrecruiters.com", "lever": "jobs.lever.co", "ashby": "jobs.ashbyhq.com", "workday": "myworkdayjobs.com", "hrmos": "hrmos.co/pages", "herp": "herp.careers/v1", "talentio": "open.talentio.com"}
@@ -136,19 +136,16 @@ def verified_by_backlink(sites: DataFrame, graph: DataFrame, depth: int = 3, pag
     graph: url, link. Each round follows the links of a company's pages inside its site, best priority first, until
     so many pages; a round is one join for all companies.
     """
-    from factloom.operators.ranking import top_one
+    from factloom.operators.ranking import kept, top_one
 
     reached = sites.select("company", F.col("url").alias("root"), "url").distinct()
     frontier = reached
     for _ in range(depth):
         step = frontier.join(graph, "url").select("company", "root", F.col("link").alias("url")).where(same_site(F.col("url"), F.col("root"))).distinct()
         new = step.join(reached, ["company", "root", "url"], "left_anti").withColumns({"_new": F.lit(1), "_p": link_priority(F.col("url"))})
-        kept = top_one(reached.withColumns({"_new": F.lit(0), "_p": F.lit(0)}).unionByName(new), ["company"], "_new", F.desc("_p"), "url", k=pages)
-        frontier = kept.where("_new = 1").drop("_new", "_p")
-        reached = kept.drop("_new", "_p")
+        pages_now = kept(top_one(reached.withColumns({"_new": F.lit(0), "_p": F.lit(0)}).unionByName(new), ["company"], "_new", F.desc("_p"), "url", k=pages))
+        frontier = pages_now.where("_new = 1").drop("_new", "_p")
+        reached = pages_now.drop("_new", "_p")
     out = reached.join(graph, "url").select("company", detect_source(F.col("link")).alias("s")).where("s is not null")
     return sites.join(out.select("company", F.col("s.kind").alias("kind"), F.col("s.tenant").alias("tenant")).distinct(), ["company", "kind", "tenant"], "left_semi").select("company", "kind", "tenant").distinct()
 
-
-def pages_of(markup: str) -> Node:
-    return parse(markup)

@@ -33,7 +33,7 @@ def test_pages(record, ids, last, cursor, total):
 
 
 def test_page_errors_are_rows():
-    for body in ("not json", {"jobPostings": []}, {"total": 5, "jobPostings": []}):
+    for body in ("not json", {"jobs": []}, {"total": 5, "jobPostings": []}):
         row, = connectors.page_rows(rec("workday", body))
         assert row[-1].startswith("schema_changed") and row[3] is False
 
