@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, pre_tokenizers
 
+from factloom.llm.common import give_back
+
 #: The tokenizer's white space, word pattern and end-of-word mark.
 SPACES = r"\t-\r \x85\xa0  -     　"
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 END = "</w>"
 ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
 #: Words kept for reuse inside a task, and rows of a returned batch. Both bound memory only.
-MEMO, ROWS_OUT = 400_000, 512
+MEMO, ROWS_OUT = 300_000, 256
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -158,44 +160,39 @@ class Codec:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 class Encoder:
     """Encodes documents, remembering the ids of the stretches seen so far."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.ids, self.text = codec, {}, {}
+        self.codec, self.ids = codec, {}
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.ids]
         if len(self.ids) + len(new) > MEMO:
-            self.ids, self.text = {}, {}
+            self.ids = {}
             new = list(chunks)
         for at in range(0, len(new), MEMO // 2):
             some = new[at : at + MEMO // 2]
             split = [[c] if c.isascii() and c.isalpha() and c.islower() else self.codec.pieces(c) for c in some]
             ids = {x: np.array([i], "<u4").tobytes() for x, i in self.codec.special.items()}
-            text = {x: self.codec.decode([i]) for x, i in self.codec.special.items()}
             words = list({p for ps in split for p in ps} - ids.keys())
             flat, cuts = self.codec.encode_words([w.encode("utf-8") for w in words])
-            packed, numbers, cuts = flat.tobytes(), flat.tolist(), cuts.tolist()
+            packed, cuts = flat.tobytes(), cuts.tolist()
             for w, a, b in zip(words, cuts, cuts[1:], strict=False):
                 ids[w] = packed[4 * a : 4 * b]
-                text[w] = self.codec.decode(numbers[a:b])
             for c, ps in zip(some, split, strict=True):
-                if len(ps) == 1:
-                    self.ids[c], self.text[c] = ids[ps[0]], text[ps[0]]
-                else:
-                    self.ids[c] = b"".join([ids[p] for p in ps])
-                    self.text[c] = " ".join([text[p] for p in ps])
+                self.ids[c] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian, 32 bits each) and decoded text of each document."""
         split = [_stretches(x or "") for x in texts]
         self.learn(set().union(*split))
         for chunks in split:
-            yield b"".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.text.__getitem__, chunks))
+            ids = b"".join(map(self.ids.__getitem__, chunks))
+            yield ids, self.codec.decode(np.frombuffer(ids, "<u4").tolist())
 
 
 def _stretches(text: str) -> list[str]:
@@ -224,5 +221,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                 columns = [batch.column(c) for c in kept]
                 columns += [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([x for _, x in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "n_tokens", "decoded"])
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import checkpointed, written
+from factloom.llm.common import checkpointed, give_back, written
 
 SEED, BITS = 42, 64
 #: Pairs of nodes opened, and fingerprints compared, at once. Both bound memory only.
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, size: int = 4, text: str = "text") -> DataFram
                 batch = whole.slice(at, 512)
                 found = np.array([fingerprint(x, size) for x in batch.column(text).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found)], names=[*kept, "fp"])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -176,7 +177,10 @@ def links(prints: DataFrame, budget: int = 4, per_task: int = 16_384, least_dept
         forest = trie_links(fp[:cut], fp[cut:] if cut < len(fp) else None, budget)
         root = forest.root(np.arange(len(fp)))
         own = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table({"a": node[root[own]], "b": node[own]})
+        found = pa.table({"a": node[root[own]], "b": node[own]})
+        del forest, fp, side, order
+        give_back()
+        return found
 
     return dealt.groupBy("p1", "s1", "p2", "s2").applyInArrow(run, "a long, b long")
 
@@ -200,15 +204,15 @@ def components(found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, per_task: int = 16_384) -> DataFrame:
-    """doc_id, fp long and component_id for each row of docs.
+    """doc_id, row (a hash of the text), fp long and component_id for each row of docs.
 
     Documents link if their fingerprints differ in at most `budget` bits; component_id is the smallest doc_id
     reachable. Null and empty texts have fingerprint 0 and link like any other. A row with a null doc_id
     counts as the largest doc_id and keeps a null doc_id in the result. Repeated rows stay repeated.
     """
     last = F.lit((1 << 63) - 1)
-    prints = written(fingerprints(docs.select("doc_id", "text"), size).select("doc_id", "fp"), "fingerprints")
+    prints = written(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), size).select("doc_id", "row", "fp"), "fingerprints")
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", last)).alias("node")))
     grouped = components(links(nodes, budget, per_task))
     classes = nodes.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "row", "fp", "component_id")
