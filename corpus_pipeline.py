@@ -31,11 +31,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates; of rows with equal doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return one.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The smallest doc_id of each group of near duplicates; of several rows with that doc_id in the group, one."""
+    last = F.lit((1 << 63) - 1)
+    own = simhash.near_duplicates(docs).where(F.coalesce("doc_id", last) == F.col("component_id"))
+    stay = own.groupBy("component_id").agg(F.min("row").alias("_row")).withColumnRenamed("component_id", "_id")
+    rows = docs.withColumn("_doc", F.coalesce("doc_id", last)).withColumn("_text", F.xxhash64("text"))
+    one = rows.join(stay.hint("shuffle_hash"), (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_row")))
+    return one.dropDuplicates(["_doc", "_text"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
