@@ -29,6 +29,12 @@ def test_near_duplicate_stage_keeps_one_of_each(spark, data):
     assert sorted(kept) == sorted(set(component.values()))
 
 
+def test_rows_of_one_id_that_are_no_copies(spark, data):
+    rows = [(1, "one two three four five six", "en", "a", 1), (5, "one two three four five six", "en", "a", 1), (5, "quite another text with other words in it", "en", "a", 1), (5, "quite another text with other words in it", "en", "a", 1), (None, "x", "en", "a", 1), (None, "x", "en", "a", 1)]
+    out = cp.one_of_near_duplicates(spark, spark.createDataFrame(rows, DOC), data).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(1, rows[0][1]), (5, rows[2][1]), (None, "x")], key=repr)
+
+
 def test_mixture_stage_is_sorted_and_near_its_targets(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     mixed = mixture.mix(docs).collect()
