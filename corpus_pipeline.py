@@ -31,10 +31,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates; of several rows with that doc_id in the group, one."""
+    """One row of each group of near duplicates: that of the smallest doc_id, and of several with it the smallest text hash."""
     last = F.lit((1 << 63) - 1)
-    own = simhash.near_duplicates(docs).where(F.coalesce("doc_id", last) == F.col("component_id"))
-    stay = own.groupBy("component_id").agg(F.min("row").alias("_row")).withColumnRenamed("component_id", "_id")
+    first = F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("row").alias("_row"))
+    stay = simhash.near_duplicates(docs).groupBy("group").agg(F.min(first).alias("_first")).select("_first.*")
     rows = docs.withColumn("_doc", F.coalesce("doc_id", last)).withColumn("_text", F.xxhash64("text"))
     one = rows.join(stay.hint("shuffle_hash"), (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_row")))
     return one.dropDuplicates(["_doc", "_text"]).select(*COLUMNS)

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints come from word shingles in numpy. Equal fingerprints become one
-node, named by its smallest doc_id. The distinct fingerprints form a binary
+node, which is the fingerprint itself; doc_ids are labels only. The distinct fingerprints form a binary
 trie that is cut at `depth` bits: each task gets a pair of subtrees whose
 prefixes differ in no more bits than allowed, and goes down both together, one
 bit a step, adding up the bits that differ and dropping a pair of nodes as soon
@@ -204,15 +204,18 @@ def components(found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, per_task: int = 16_384) -> DataFrame:
-    """doc_id, row (a hash of the text), fp long and component_id for each row of docs.
+    """doc_id, row (a hash of the text), fp, group long and component_id for each row of docs.
 
-    Documents link if their fingerprints differ in at most `budget` bits; component_id is the smallest doc_id
-    reachable. Null and empty texts have fingerprint 0 and link like any other. A row with a null doc_id
+    Documents link if their fingerprints differ in at most `budget` bits; group is the smallest fingerprint reachable
+    and component_id the smallest doc_id. Groups without a link between them can share a component_id if a doc_id
+    repeats or is null. Null and empty texts have fingerprint 0 and link like any other. A row with a null doc_id
     counts as the largest doc_id and keeps a null doc_id in the result. Repeated rows stay repeated.
     """
     last = F.lit((1 << 63) - 1)
     prints = written(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), size).select("doc_id", "row", "fp"), "fingerprints")
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", last)).alias("node")))
-    grouped = components(links(nodes, budget, per_task))
-    classes = nodes.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "row", "fp", "component_id")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", last)).alias("first")))
+    grouped = components(links(nodes.select(F.col("fp").alias("node"), "fp"), budget, per_task)).withColumnRenamed("node", "fp")
+    smallest = grouped.join(nodes, "fp").groupBy("component").agg(F.min("first").alias("least"))
+    linked = grouped.join(smallest, "component")
+    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("least", "first").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "row", "fp", "group", "component_id")

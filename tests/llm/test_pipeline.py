@@ -35,6 +35,14 @@ def test_rows_of_one_id_that_are_no_copies(spark, data):
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(1, rows[0][1]), (5, rows[2][1]), (None, "x")], key=repr)
 
 
+def test_unlike_texts_of_one_id_all_stay(spark, data):
+    """Several texts under a null or repeated doc_id, one of which repeats a text of a smaller doc_id."""
+    texts = [" ".join(f"{w}{i}" for i in range(12)) for w in ("ant", "bee", "cat", "dog", "elk")]
+    rows = [(1, texts[0], "en", "a", 1), *((None, t, "en", "a", 1) for t in texts[:3]), *((7, t, "en", "a", 1) for t in (texts[0], *texts[3:]))]
+    out = cp.one_of_near_duplicates(spark, spark.createDataFrame(rows, DOC), data).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in out)) == sorted([(1, texts[0]), (0, texts[1]), (0, texts[2]), (7, texts[3]), (7, texts[4])])
+
+
 def test_mixture_stage_is_sorted_and_near_its_targets(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     mixed = mixture.mix(docs).collect()
