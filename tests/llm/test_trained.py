@@ -69,6 +69,14 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(spark.createDataFrame([], DOC), net).count() == 0
 
 
+def test_toxicity_trains_on_every_row_up_to_its_bound(spark, monkeypatch):
+    """About 11,000 labelled rows outside the held-out fifth; a word is known only if three of its six documents are taken."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    docs = spark.range(13_700).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.translate((F.col("id") / 6).cast("long").cast("string"), "0123456789", "bcdefghijk")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.fit(docs, labels).rows == toxicity.fit(docs, labels, max_train=1_000_000).rows
+
+
 def test_toxicity_scores_do_not_depend_on_batches(spark, data):
     net = toxicity.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
