@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, pre_tokenizers
 
-from factloom.llm.common import give_back
+from factloom.llm.common import give_back, received, send
 
 #: The tokenizer's white space, word pattern and end-of-word mark.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -205,14 +205,15 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with ids binary (little-endian unsigned 32 bits each), n_tokens long and decoded string.
 
     Every whole text is encoded without adding special tokens; special tokens written in a text are
-    recognised. A null text is empty and has no ids. The other columns stay; clashing names are replaced.
+    recognised. A null or empty text has no ids. Long texts are encoded whole, equal rows each for itself, and an
+    empty table gives an empty table. The other columns stay; clashing names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
-    codec = docs.sparkSession.sparkContext.broadcast(Codec(tokenizer))
+    codec = send(docs.sparkSession, Codec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(codec.value)
+        encoder = Encoder(received(codec))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(at, ROWS_OUT)

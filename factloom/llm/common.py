@@ -5,10 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,33 @@ def finite(c: Column) -> Column:
     return F.coalesce(ok & (F.size(c) > 0), F.lit(False))
 
 
+def field(name: str, of: str = "") -> Column:
+    """The column of that very name, dots and all, or the field of that name of a struct column."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def packed(df: DataFrame, *new: Column) -> DataFrame:
+    """All columns of df in one struct `_user`, beside the new ones, so that no helper column can meet a user's of its name."""
+    whole = F.struct(*[field(c) for c in df.columns]) if df.columns else F.struct(F.lit(0).alias("_none"))
+    return df.select(whole.alias("_user"), *new)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the user's rows as they were, with the new ones in place of those of their names or after them."""
+    kept = [new[c].alias(c) if c in new else field(c, "_user").alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(c) for c, v in new.items() if c not in columns])
+
+
+def send(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of a value with its class, so that executors need not have this package; `received` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)
+
+
 def give_back() -> None:
     """Returns a task's free memory to the system, as Python workers live on and the next task may be another operator's."""
     gc.collect()
