@@ -79,8 +79,8 @@ def packed(df: DataFrame, *new: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns of the user's rows as they were, with the new ones in place of those of their names or after them."""
-    kept = [new[c].alias(c) if c in new else field(c, "_user").alias(c) for c in columns]
-    return df.select(*kept, *[v.alias(c) for c, v in new.items() if c not in columns])
+    both = df.select("_user", F.struct(*[v.alias(c) for c, v in new.items()]).alias("_new"))
+    return both.select(*[field(c, "_new" if c in new else "_user").alias(c) for c in [*columns, *(c for c in new if c not in columns)]])
 
 
 def send(spark: SparkSession, value: Any) -> Broadcast:

@@ -1,9 +1,10 @@
 """Surrogates, line dedup and source mixture against brute force, with the odd rows that they must bear."""
 
-import hashlib
 import re
+import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from factloom.llm import linededup, mixture, pii, queries
@@ -161,3 +162,82 @@ def test_many_people_few_names(spark):
     people = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
     names = pii.replace_entities(people).select("text").distinct().count()
     assert names == 6000
+
+
+def replaced(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.text for r in pii.replace_entities(docs).orderBy("doc_id").collect()]
+
+
+def test_people_by_gender_given_and_family_name(spark):
+    both, later, bare, short = replaced(spark, "Mr John Smith met Mrs John Smith", "Mr John Smith left. Later Mr Smith and Mrs SMITH came", "John Smith wrote; Mr John Smith signed. John Smithson did not", "Mr Smith and Mrs Jones")
+    him, her = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)", both).groups()[::2]
+    family = both.split()[2]
+    assert him in pii.NAMES["latin m"] and her in pii.NAMES["latin f"] and him != her and both.split()[-1] == family
+    assert later == f"Mr {him} {family} left. Later Mr {family} and Mrs {family.upper()} came"
+    assert bare == f"{him} {family} wrote; Mr {him} {family} signed. John Smithson did not"
+    assert short.split()[1] == family != short.split()[4]
+
+
+def test_surrogates_keep_the_script(spark):
+    samples = {"GREEK": "αλφα@βητα.gr", "HIRAGANA": "やまだ@にほん.jp", "CJK": "山田@日本語.jp", "CYRILLIC": "почта@домен.рф", "HANGUL": "김치@한국어.kr", "ARABIC": "سلام@مرحبا.ae", "LATIN": "abc@defg.org", "HEBREW": "שלום@עולם.il"}
+    for (script, old), new in zip(samples.items(), replaced(spark, *samples.values()), strict=True):
+        assert old != new and len(old) == len(new)
+        for a, b in zip(old.rpartition(".")[0], new.rpartition(".")[0], strict=True):
+            assert unicodedata.name(b).startswith(script) if a.isalpha() else a == b
+    name = replaced(spark, "Mr Παππάς Ωμέγα")[0]
+    assert name != "Mr Παππάς Ωμέγα" and all(unicodedata.name(c).startswith("GREEK CAPITAL" if i == 0 else "GREEK SMALL") for w in name.split()[1:] for i, c in enumerate(w))
+
+
+def remainder(iban):
+    code = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
+
+
+def test_check_digits_and_secrets(spark):
+    valid, broken, french, secrets = replaced(spark, "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "sk_AbCdEfGhIjKlMnOpQrSt and sk_abcdefghijklmnopqrst")
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", valid) and remainder(valid) == 1 and remainder(french) == 1 and re.fullmatch(r"FR\d{20}[A-Z]\d{7}\w*", french[:22] + french[22:]) is None or len(french) == 27
+    assert broken != valid and broken[:2] == "DE"
+    a, b = secrets.split(" and ")
+    assert a.lower() != b.lower() and re.fullmatch(r"sk_([A-Z][a-z]){10}", a) and re.fullmatch(r"sk_[a-z]{20}", b)
+
+
+def test_surrogates_beside_columns_of_any_name(spark):
+    rows = [(1, "x@y.zz", "d", "r", "f", 7, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string, _row string, found string, new int, `a.b` int").withColumn("id", F.lit("own"))
+    out = pii.replace_entities(docs)
+    assert out.columns == [*docs.columns, "n_entities", "surrogates"]
+    assert tuple(out.first())[2:8] == ("d", "r", "f", 7, 9, "own") and out.first().n_entities == 1
+
+
+def test_a_hot_entity_has_one_surrogate(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ask all@office.example.com or u"), F.col("id").cast("string"), F.lit("@mail.example.com")).alias("text"))
+    words = pii.replace_entities(docs).select(F.split("text", " ").alias("w")).select(F.col("w")[1].alias("hot"), F.col("w")[3].alias("own")).agg(F.count_distinct("hot").alias("hot"), F.count_distinct("own").alias("own")).first()
+    assert tuple(words) == (1, 4000)
+
+
+def test_surrogates_of_a_whole_table(spark, data):
+    """Entity for entity: one surrogate each, none shared, none an entity of the table, form and check digits kept."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    out = {r.doc_id: r for r in pii.replace_entities(docs).collect()}
+    pattern, maps, seen = regex.compile(pii.ANY), {}, set()
+    plain = lambda kind, x: re.sub(r"\D", "", x)[-10:] if kind == "phone" else re.sub(r"[ \-]", "", x) if kind in ("card", "iban", "ssn") else x if kind == "secret" else x.lower()
+    for d in docs.collect():
+        old, new = [m.group() for m in pattern.finditer(d.text or "")], out[d.doc_id].surrogates
+        rest = [x.surrogate for x in new]
+        assert out[d.doc_id].n_entities == len(new) >= len(old)
+        if len(old) != len(new):  # a full name again, without its title
+            continue
+        for a, x, b in zip(old, new, rest, strict=True):
+            if x.type == "name":
+                continue
+            assert maps.setdefault((x.type, plain(x.type, a)), plain(x.type, b)) == plain(x.type, b)
+            seen.add((x.type, plain(x.type, a)))
+            if x.type == "card":
+                assert luhn(re.sub(r"\D", "", a)) <= luhn(re.sub(r"\D", "", b))
+            if x.type == "iban":
+                assert (remainder(a) == 1) <= (remainder(b) == 1)
+            if x.type not in ("ip", "email"):
+                assert re.sub(r"\d", "0", re.sub("[a-zA-Z]", "a", a)) == re.sub(r"\d", "0", re.sub("[a-zA-Z]", "a", b)) or x.type == "secret"
+    assert len(maps) > 50 and len({(k[0], v) for k, v in maps.items()}) == len(maps)
+    assert not {(k[0], v) for k, v in maps.items()} & seen
