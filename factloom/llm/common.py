@@ -41,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, dealt: int = 0) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key, so that groups and joins by it need no shuffle; dealt: first brought together so."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(dealt, key) if dealt else df
+    rows.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.read.table(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
