@@ -60,7 +60,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixture.by_position(mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("first_position", 6) + F.lit(0.0)).alias("first_position"))
 
 
@@ -92,7 +92,7 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM k GROUP BY doc_id""",
     "op10_source_mixture": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS o FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS o FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT % 3 AS i FROM s),
         x AS (SELECT *, (i + 1)::DOUBLE AS weight, [0.5, 1.0, 1.5][i + 1]::DOUBLE AS a, [1.5, 1.0, 0.5][i + 1]::DOUBLE AS b, 3.0::DOUBLE * source_size AS lim FROM w),
@@ -100,7 +100,7 @@ ORACLES = {
             / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM x),
         t AS (SELECT *, least(max(level) OVER () * weight, lim) AS target FROM y),
         c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b,
-            coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+            coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
             CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS rounds
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         e AS (SELECT *, (rounds * size + greatest(0, least(size, floor(target - rounds * source_size)::BIGINT - before)))::BIGINT AS taken FROM c)

@@ -46,11 +46,43 @@ def test_lines_brute(spark, partitions):
 
 def test_lines_runs_rebuild_the_text(spark):
     for r in linededup.dedup_lines(odd_docs(spark)).collect():
-        lines, kept, at = (r.text or "").split("\n"), [], 0
-        for i, n in enumerate(r.keep_runs):
-            kept += lines[at : at + n] if i % 2 == 0 else []
-            at += n
-        assert at == len(lines) and "\n".join(kept) == r.kept_text
+        lines = (r.text or "").split("\n")
+        assert "\n".join(x for run in r.keep_runs for x in lines[run.start : run.start + run.length]) == r.kept_text
+        assert r.n_lines == len(lines) == r.n_dropped + sum(run.length for run in r.keep_runs)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString(), df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_by_the_method(spark, data):
+    """The text is cut by the runs; the window streams over the ranges without another exchange of the lines."""
+    assert "AS runs" in plan(queries.op5_line_dedup(spark, data))[1]
+    docs = odd_docs(spark).select("doc_id", "text")
+    kept = linededup.written
+    try:
+        linededup.written = lambda df, name: plans.append(plan(df)[0]) or kept(df, name)
+        plans = []
+        linededup.duplicate_lines(docs).count()
+    finally:
+        linededup.written = kept
+    assert len(plans) == 1 and "rangepartitioning(h" in plans[0] and "hashpartitioning" not in plans[0]
+
+
+def test_mixture_by_the_method(spark, data):
+    assert "rangepartitioning(first_position" in plan(queries.op10_source_mixture(spark, data))[0]
+    at = [r.first_position for r in queries.op10_source_mixture(spark, data).collect()]
+    read = [x for x in at if x is not None]
+    assert read == sorted(read) and at[len(read) :] == [None] * (len(at) - len(read))
+
+
+def test_columns_of_any_name_stay(spark):
+    own = dict.fromkeys(("_row", "_doc", "_order", "_user", "_new", "weight", "key", "range", "order", "n", "at", "i", "row", "dropped", "a.b"), 5)
+    docs = odd_docs(spark).withColumns({c: F.lit(v) for c, v in own.items()})
+    mixed = mixture.mix(docs)
+    for out in (linededup.dedup_lines(docs), mixed, mixture.training_order(mixed)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[c] == v for r in out.collect() for c, v in own.items())
 
 
 def test_a_line_of_most_documents_over_many_partitions(spark):
