@@ -4,8 +4,13 @@ Vectors are dealt to shards of bounded size by hash; every vector is indexed,
 equal ones once with all their ids. In a shard vectors join the graph in
 batches: a greedy beam search proposes neighbours, and relaxed distance pruning
 keeps an edge only if no kept neighbour is `relax` times closer to its end;
-reverse edges are pruned the same way. A query searches every shard by a beam,
-and the best of all shards are merged with exact scores.
+reverse edges are pruned the same way. Each graph is built once and stored; then
+all queries stream past it, batch by batch. A query searches every shard by a
+beam, and the best of all shards are merged with exact scores.
+
+A shard chooses its own beam: from `beam` on it doubles until searches for some
+of the shard's own vectors find the share `TARGET` of what brute force finds.
+So vectors without any structure cost more, and are not found less.
 
 Inner products become distances by one more coordinate that gives all vectors
 of a shard the same length. Searches of many queries advance together in numpy.
@@ -13,14 +18,18 @@ of a shard the same length. Searches of many queries advance together in numpy.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.vafile import best, grid, matrix, unique_vectors
+from factloom.llm.vafile import as_wide, best, indexed, streamed, unique_vectors
 
 DEGREE, BEAM, RELAX = 32, 64, 1.2
+#: Recall within a shard at which its beam is wide enough, and vectors by which that is measured.
+TARGET, TRIALS = 0.96, 64
 #: Vectors of a shard, queries searched together, vectors that join together.
 SHARD, ABREAST, JOIN = 16_384, 256, 256
 
@@ -43,6 +52,14 @@ class Graph:
             self.reverse(group)
             at += len(group)
 
+    @classmethod
+    def of(cls, x: np.ndarray, last: np.ndarray, near: np.ndarray, entry: int) -> Graph:
+        """The graph as it was built, from its vectors, their last coordinate, its edges and its entry."""
+        graph = cls.__new__(cls)
+        graph.x = np.concatenate([x.astype(np.float32), last[:, None]], 1)
+        graph.norm, graph.near, graph.entry = (graph.x * graph.x).sum(1), near, entry
+        return graph
+
     def distances(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each row's point to each of its ids; infinite at -1."""
         y = self.x[ids]
@@ -135,26 +152,59 @@ class Graph:
             self.near[nodes[~few]] = self.prune(nodes[~few], both[~few])
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int, **graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, ids and exact scores of the shard's best for each query, at most k a query."""
-    order = np.argsort(ids)
-    ids, x = ids[order], x[order]
-    distinct, where = np.unique(x, axis=0, return_inverse=True)
-    by = np.argsort(where.ravel(), kind="stable")
-    cuts = np.r_[0, np.cumsum(np.bincount(where.ravel(), minlength=len(distinct)))]
-    index = Graph(distinct, **graph)
-    found = index.search(np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32), max(beam, k + 1))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for own, q, places in zip(query_ids, queries, found, strict=True):
-        places = places[places >= 0]
-        score = distinct[places] @ q
-        lists = [ids[by[cuts[p] : min(cuts[p + 1], cuts[p] + k + 1)]] for p in places]  # the k smallest ids of equal vectors suffice
-        flat, scores = np.concatenate(lists), np.repeat(score, [len(i) for i in lists])
-        other = flat != own
-        flat, scores = flat[other], scores[other]
-        first = np.lexsort((flat, -scores))[:k]
-        out.append((np.full(len(first), own), flat[first], scores[first]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+class Index:
+    """A stored shard: distinct vectors with the ids of each, their graph, and the beam that it needs."""
+
+    def __init__(self, graph: Graph, distinct: np.ndarray, ids: np.ndarray, cuts: np.ndarray, beam: int):
+        self.graph, self.distinct, self.ids, self.cuts, self.beam = graph, distinct, ids, cuts, beam
+
+    @classmethod
+    def build(cls, ids: np.ndarray, x: np.ndarray, k: int, beam: int = 128, **graph) -> Index:
+        order = np.argsort(ids)
+        distinct, where = np.unique(x[order], axis=0, return_inverse=True)
+        by = np.argsort(where.ravel(), kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(where.ravel(), minlength=len(distinct)))]
+        made = cls(Graph(distinct, **graph), distinct, ids[order][by], cuts, beam)
+        made.widen(k)
+        return made
+
+    def widen(self, k: int) -> None:
+        trials = self.distinct[np.random.default_rng(3).permutation(len(self.distinct))[:TRIALS]]
+        k = min(k, len(self.distinct))
+        score = trials @ self.distinct.T
+        kth = -np.partition(-score, k - 1, 1)[:, k - 1 : k]
+        while self.beam < len(self.distinct):
+            found = self.places(trials, self.beam)
+            hits = np.where(found >= 0, np.take_along_axis(score, np.maximum(found, 0), 1), -np.inf) >= kth
+            if np.minimum(hits.sum(1), k).mean() >= TARGET * k:
+                break
+            self.beam *= 2
+
+    def places(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        return self.graph.search(np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32), beam)
+
+    def packed(self) -> bytes:
+        single = self.distinct.astype(np.float32)
+        g = self.graph
+        return pickle.dumps((single if (single == self.distinct).all() else self.distinct, self.ids, self.cuts, self.beam, g.x[:, -1], g.near.astype(np.int32), g.entry))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Index:
+        distinct, ids, cuts, beam, last, near, entry = pickle.loads(raw)
+        return cls(Graph.of(distinct, last, near, entry), distinct.astype(np.float64), ids, cuts, beam)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """query id, ids and exact scores of the shard's best for each query, at most k a query."""
+        queries = as_wide(queries, self.distinct.shape[1])
+        for own, q, places in zip(query_ids.tolist(), queries, self.places(queries, max(self.beam, k + 1)), strict=True):
+            places = places[places >= 0]
+            score = self.distinct[places] @ q
+            lists = [self.ids[self.cuts[p] : min(self.cuts[p + 1], self.cuts[p] + k + 1)] for p in places]  # the k smallest ids of equal vectors suffice
+            flat, scores = np.concatenate(lists), np.repeat(score, [len(i) for i in lists])
+            other = flat != own
+            flat, scores = flat[other], scores[other]
+            first = np.lexsort((flat, -scores))[:k]
+            yield own, flat[first], scores[first]
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128, per_shard: int = SHARD, degree: int = DEGREE, build_beam: int = BEAM, relax: float = RELAX) -> DataFrame:
@@ -163,20 +213,14 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, beam: int = 128,
     The score is the inner product of the original vectors in double precision. Ties go to the smaller vec_id; a
     query's own vec_id is no candidate. Null, empty and zero vectors and those with null or non-finite components
     take no part, nor do rows without vec_id; equal vec_ids are one row. Of vectors of different lengths, the
-    shorter counts as filled up with zeros.
+    shorter counts as filled up with zeros. Other columns are not read; empty tables give an empty result.
     """
     usable = lambda t: unique_vectors(t).where(F.exists("vector", lambda v: v != 0))
-    left, right = grid(usable(table), usable(queries), per_shard)
-
-    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x = matrix(vectors.column("vector"))
-        y = matrix(asked.column("vector"), x.shape[1])
-        if y.shape[1] > x.shape[1]:
-            x = np.pad(x, ((0, 0), (0, y.shape[1] - x.shape[1])))
-        q, i, s = search_shard(vectors.column("vec_id").to_numpy(), x, asked.column("vec_id").to_numpy(), y, k, beam, degree=degree, build_beam=build_beam, relax=relax)
-        return pa.table({"query_id": q.astype(np.int64), "vec_id": i, "score": s})
-
-    found = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(run, "query_id long, vec_id long, score double")
-    return best(found, k)
+    build = lambda ids, x: Index.build(ids, x, k + 1, beam, degree=degree, build_beam=build_beam, relax=relax).packed()
+    indexes, shards = indexed(usable(table), per_shard, build)
+
+    def search(raw: bytes) -> Callable:
+        index = Index.unpacked(raw)
+        return lambda ids, y: index.search(ids, y, k)
+
+    return best(streamed(indexes, shards, usable(queries), search, "double"), k)

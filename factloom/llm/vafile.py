@@ -1,27 +1,29 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Queries and vectors meet in a grid of bounded blocks. A block's vectors are
-quantised to a few cells in each dimension. For a query, the cells' edges give
-an upper and a lower bound of every vector's score in two matrix products; the
-k-th best lower bound drops what cannot be a result, and the rest is read
-exactly in the order of its upper bounds until the next bound is below the k-th
-exact score. Components are whole numbers, so all sums are exact.
+Vectors are dealt to blocks of bounded size; each block is quantised once to a
+few cells in each dimension and stored. Then all queries stream past each block,
+batch by batch. Middles and half widths of the cells give an upper and a lower
+bound of every vector's score in two products in single precision, with room for
+its rounding; the k-th best lower bound drops what cannot be a result, and the
+rest is read exactly in the order of its upper bounds until the next bound is
+below the k-th exact score. Components are whole numbers, so all sums are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_for, finite
+from factloom.llm.common import blocks_for, finite, give_back, written
 
 CELLS = 16
-#: Sizes of a block: vectors, queries; queries bounded at once and vectors read at once inside a task.
-VECTORS, QUERIES, ABREAST, READ = 32_768, 8_192, 32, 128
+#: Vectors of a block; queries bounded at once and vectors read at once inside a task.
+VECTORS, ABREAST, READ = 32_768, 128, 128
 LEAST_BLOCKS = 12
 
 
@@ -30,12 +32,47 @@ def unique_vectors(table: DataFrame, vector: str = "embedding") -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & finite(F.col(vector))).groupBy("vec_id").agg(F.min(vector).alias("vector"))
 
 
-def grid(vectors: DataFrame, queries: DataFrame, per_block: int = VECTORS, per_query_block: int = QUERIES, least: int = LEAST_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the keys d, q of the block pairs that they take part in."""
-    n_d, n_q = blocks_for(vectors.count(), per_block, least), blocks_for(queries.count(), per_query_block, 1)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return vectors.withColumn("d", own(n_d)).withColumn("q", every(n_q)), queries.withColumn("q", own(n_q)).withColumn("d", every(n_d))
+def indexed(vectors: DataFrame, per_block: int, build: Callable[[np.ndarray, np.ndarray], bytes], least: int = LEAST_BLOCKS) -> tuple[DataFrame, int]:
+    """Stored indexes d, index of the blocks of vectors (vec_id, vector), each built once, and the number of blocks."""
+    blocks = blocks_for(vectors.count(), per_block, least)
+
+    def run(table: pa.Table) -> pa.Table:
+        made = build(table.column("vec_id").to_numpy(), matrix(table.column("vector")))
+        give_back()
+        return pa.table({"d": table.column("d")[:1], "index": pa.array([made], pa.binary())})
+
+    dealt = vectors.withColumn("d", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("d").applyInArrow(run, "d int, index binary"), "index"), blocks
+
+
+def streamed(indexes: DataFrame, blocks: int, queries: DataFrame, search: Callable[[bytes], Callable], score: str) -> DataFrame:
+    """query_id, vec_id and score found for each query in each block.
+
+    A task holds one block's index, which comes first in the order of its rows, and one batch of the queries after it.
+    search takes an index and returns a function of query ids and vectors that yields id, ids found and scores.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("d")
+    none = F.lit(None)
+    asked = queries.select(every, F.lit(1).alias("kind"), "vec_id", F.col("vector").cast("array<double>").alias("vector"), none.cast("binary").alias("index"))
+    rows = indexes.select("d", F.lit(0).alias("kind"), none.cast("long").alias("vec_id"), none.cast("array<double>").alias("vector"), "index").union(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, find = None, None
+        for batch in batches:
+            d, kind = batch.column("d").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (kind[1:] != kind[:-1]), True])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if kind[a] == 0:
+                    block, find = d[a], search(batch.column("index")[int(a)].as_py())
+                elif block == d[a]:  # a block without vectors has no index
+                    part = batch.slice(a, b - a)
+                    found = list(find(part.column("vec_id").to_numpy(), matrix(pa.chunked_array([part.column("vector")]))))
+                    sizes = [len(ids) for _, ids, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], sizes).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in found]).astype(np.int64)), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
+        del find
+        give_back()
+
+    return rows.repartition("d").sortWithinPartitions("d", "kind").mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
 def matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
@@ -55,84 +92,96 @@ def whole(x: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(scale * x)
 
 
+def as_wide(y: np.ndarray, width: int) -> np.ndarray:
+    """Rows of so many components: zeros added, or those left out that meet zeros of shorter vectors."""
+    return y[:, :width] if y.shape[1] >= width else np.pad(y, ((0, 0), (0, width - y.shape[1])))
+
+
 class Cells:
-    """Quantised vectors: the lowest and highest value that each dimension has in a vector's cell."""
+    """A block: ids in order, exact vectors x, the cell of each component (code), and the lowest and highest value in each cell."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, least: np.ndarray, most: np.ndarray):
+        self.ids, self.x, self.code = ids, x, code
+        self.middle, self.half = (least + most) / 2, (most - least) / 2
+        self.largest = float(np.abs(x).max(initial=0))
 
-    def __init__(self, x: np.ndarray, cells: int = CELLS):
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray, cells: int = CELLS) -> Cells:
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
         low, high = x.min(0), x.max(0)
         code = np.minimum(((x - low) * (cells / np.maximum(high - low, 1))).astype(np.int64), cells - 1).astype(np.uint8)
-        self.code = code
-        self.least, self.most = np.full((cells, x.shape[1]), np.inf), np.full((cells, x.shape[1]), -np.inf)
+        least, most = np.zeros((cells, x.shape[1])), np.zeros((cells, x.shape[1]))
         for c in range(cells):
             inside = code == c
-            self.least[c] = np.where(inside, x, np.inf).min(0)
-            self.most[c] = np.where(inside, x, -np.inf).max(0)
+            some = inside.any(0)
+            least[c, some] = np.where(inside, x, np.inf).min(0)[some]
+            most[c, some] = np.where(inside, x, -np.inf).max(0)[some]
+        return cls(ids, x, code, least, most)
 
-    def edges(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
-        dims = np.arange(self.code.shape[1])
-        return self.least[self.code[at], dims], self.most[self.code[at], dims]
+    def packed(self) -> bytes:
+        small = self.x.astype(np.int32) if self.largest < 2**31 else self.x
+        return pickle.dumps((self.ids, small, self.code, self.middle - self.half, self.middle + self.half))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Cells:
+        ids, x, *cells = pickle.loads(raw)
+        return cls(ids, x.astype(np.float64), *cells)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of queries (rows) by vectors (columns)."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        lows, highs = [], []
+        q, size, dims = queries.astype(np.float32), np.abs(queries).astype(np.float32), np.arange(self.code.shape[1])
+        middle, half = self.middle.astype(np.float32), self.half.astype(np.float32)
+        scores, widths = np.empty((len(q), len(self.code)), np.float32), np.empty((len(q), len(self.code)), np.float32)
         for at in range(0, len(self.code), 8192):
-            least, most = self.edges(slice(at, at + 8192))
-            lows.append(up @ least.T + down @ most.T)
-            highs.append(up @ most.T + down @ least.T)
-        return np.concatenate(lows, 1), np.concatenate(highs, 1)
-
-
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """query id, ids and scores of its k best vectors (not its own), best first, ties to smaller ids."""
-    order = np.argsort(ids)
-    ids, x = ids[order], x[order]
-    cells = Cells(x)
-    whole_sums = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * x.shape[1] < 2**53
-    exact_x = x if whole_sums else x.astype(np.int64)
-    for at in range(0, len(queries), ABREAST):
-        lows, highs = cells.bounds(queries[at : at + ABREAST])
-        for row, (low, high) in enumerate(zip(lows, highs, strict=True)):
-            own = query_ids[at + row]
-            low[ids == own] = high[ids == own] = -np.inf
-            slack = 0 if whole_sums else 1e-9 * np.abs(high[np.isfinite(high)]).max(initial=0)
-            limit = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            some = np.flatnonzero((high >= limit - slack) & np.isfinite(high))
-            some = some[np.argsort(-high[some], kind="stable")]
-            best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            q = queries[at + row] if whole_sums else queries[at + row].astype(np.int64)
-            for start in range(0, len(some), READ):
-                if len(score) == k and score[-1] > high[some[start]] + slack:
-                    break
-                read = some[start : start + READ]
-                best, score = np.concatenate([best, read]), np.concatenate([score, (exact_x[read] @ q).astype(np.int64)])
-                first = np.lexsort((best, -score))[:k]
-                best, score = best[first], score[first]
-            yield int(own), ids[best], score
-
-
-def exact_top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, per_block: int = VECTORS, per_query_block: int = QUERIES) -> DataFrame:
+            code = self.code[at : at + 8192]
+            scores[:, at : at + 8192] = q @ middle[code, dims].T
+            widths[:, at : at + 8192] = size @ half[code, dims].T
+        # single precision rounds each product and sum by 2^-24 of what is added up
+        rounding = (4 + len(dims)) * 2.0**-23 * self.largest * size.sum(1, keepdims=True)
+        widths += rounding.astype(np.float32) + np.float32(1e-30)
+        return scores - widths, scores + widths
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """query id, ids and scores of its k best vectors (not its own), best first, ties to smaller ids."""
+        queries = as_wide(queries, self.x.shape[1])
+        fits = self.largest * float(np.abs(queries).max(initial=0)) * self.x.shape[1] < 2**53
+        x, asked = (self.x, queries) if fits else (self.x.astype(np.int64), queries.astype(np.int64))
+        for at in range(0, len(queries), ABREAST):
+            lows, highs = self.bounds(queries[at : at + ABREAST])
+            for row, (low, high) in enumerate(zip(lows, highs, strict=True)):
+                own = query_ids[at + row]
+                low[self.ids == own] = high[self.ids == own] = -np.inf
+                limit = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+                some = np.flatnonzero((high >= limit) & np.isfinite(high))
+                some = some[np.argsort(-high[some], kind="stable")]
+                best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for start in range(0, len(some), READ):
+                    if len(score) == k and score[-1] > high[some[start]]:
+                        break
+                    read = some[start : start + READ]
+                    best, score = np.concatenate([best, read]), np.concatenate([score, (x[read] @ asked[at + row]).astype(np.int64)])
+                    first = np.lexsort((best, -score))[:k]
+                    best, score = best[first], score[first]
+                yield int(own), self.ids[best], score
+
+
+def exact_top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, per_block: int = VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score long: the k best vectors of table for each row of queries (vec_id, embedding each).
 
     Components x become floor(scale * x); the score is their inner product, a whole number. Ties go to the
     smaller vec_id; a query's own vec_id is no candidate. Null and empty vectors and those with null or
     non-finite components take no part, nor do rows without vec_id; equal vec_ids are one row. Of vectors of
     different lengths, the shorter counts as filled up with zeros. Sums beyond 64 bits are not defined.
+    Other columns are not read; empty tables give an empty result.
     """
-    left, right = grid(unique_vectors(table), unique_vectors(queries), per_block, per_query_block)
-
-    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        x = matrix(vectors.column("vector"))
-        y = matrix(asked.column("vector"), x.shape[1])
-        if y.shape[1] > x.shape[1]:
-            x = np.pad(x, ((0, 0), (0, y.shape[1] - x.shape[1])))
-        found = list(search(vectors.column("vec_id").to_numpy(), whole(x, scale), asked.column("vec_id").to_numpy(), whole(y, scale), k))
-        return pa.table({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-    found = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(run, "query_id long, vec_id long, score long")
-    return best(found, k)
+    indexes, blocks = indexed(unique_vectors(table), per_block, lambda ids, x: Cells.of(ids, whole(x, scale)).packed())
+
+    def search(raw: bytes) -> Callable:
+        cells = Cells.unpacked(raw)
+        return lambda ids, y: cells.search(ids, whole(y, scale), k)
+
+    return best(streamed(indexes, blocks, unique_vectors(queries), search, "long"), k)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
