@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.vafile import as_wide, best, indexed, streamed, unique_vectors
 
-DEGREE, BEAM, RELAX = 32, 64, 1.2
+DEGREE, BEAM, RELAX = 32, 96, 1.05
 #: Recall within a shard at which its beam is wide enough, and vectors by which that is measured.
 TARGET, TRIALS = 0.96, 64
 #: Vectors of a shard, queries searched together, vectors that join together.

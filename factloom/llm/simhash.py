@@ -38,6 +38,8 @@ from factloom.llm.common import checkpointed, give_back, shuffle_partitions, wri
 SEED, BITS = 42, 64
 #: Pairs of nodes opened, and fingerprints compared, at once. Both bound memory only.
 OPEN, COMPARED = 1 << 18, 1 << 21
+#: Fingerprints of a subtree, on average, beyond which tries are dealt by one more stretch. It decides copies, no links.
+SUBTREE = 4096
 
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -174,10 +176,10 @@ def choices(budget: int, agree: int) -> list[tuple[int, ...]]:
     return list(combinations(range(budget + agree), agree))
 
 
-def fewest(fingerprints: int, budget: int, per_task: int) -> int:
-    """Stretches to agree on, so that their values tell fingerprints apart into subtrees of a task's size."""
+def fewest(fingerprints: int, budget: int) -> int:
+    """Stretches to agree on, so that their values tell fingerprints apart into subtrees of bounded size."""
     agree = 1
-    while agree < BITS - budget and BITS * agree / (budget + agree) < math.log2(max(1, fingerprints) / per_task):
+    while agree < BITS - budget and BITS * agree / (budget + agree) < math.log2(max(1, fingerprints) / SUBTREE):
         agree += 1
     return agree
 
@@ -208,7 +210,7 @@ def links(prints: DataFrame, budget: int = 4, per_task: int = 16_384, within: in
     """
     count = prints.count()
     tries = int(prints.agg(F.max(F.size("fps"))).first()[0] or 1)
-    agree = fewest(count, budget, per_task)
+    agree = fewest(count, budget)
     parts, ways = segments(budget, agree), choices(budget, agree)
     copies = F.array(*[F.struct(F.lit(t * len(ways) + i).alias("way"), _key(F.get("fps", F.lit(t)), parts, w).alias("key")) for t in range(tries) for i, w in enumerate(ways)])
     dealt = prints.select("node", "fps", F.explode(copies).alias("c")).select("node", "fps", "c.*")

@@ -1,5 +1,7 @@
 """Every stage of the corpus pipeline on odd rows and against what its operator decides."""
 
+import random
+
 import corpus_pipeline as cp
 from factloom.llm import linededup, mixture, queries, simhash
 from tests.llm.test_native import DOC, brute_lines, odd_docs
@@ -24,11 +26,38 @@ def test_line_stage_keeps_the_rest(spark, data):
 
 def test_near_duplicate_stage_keeps_one_of_each(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **cp.NEAR).collect()}
     kept = [r.doc_id for r in cp.one_of_near_duplicates(spark, docs, data).collect()]
     assert sorted(kept) == sorted(set(component.values()))
 
 
+def edited(rng, words, similarity):
+    """A copy with words replaced until its five-word shingles have about this similarity."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    copy, own = list(words), shingles(words)
+    while len(own & shingles(copy)) / len(own | shingles(copy)) > similarity + 0.01:
+        copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**9)}"
+    return copy
+
+
+def test_near_copies_go_and_others_stay(spark, data):
+    """Copies at three similarities, and texts that share a third of their words in order."""
+    rng = random.Random(5)
+    rows, pairs, plain = [], [], []
+    for n, similarity in enumerate([0.85] * 60 + [0.9] * 60 + [0.95] * 60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(250, 500))]
+        rows += [(2 * n, " ".join(words), "en", "a", 1), (2 * n + 1, " ".join(edited(rng, words, similarity)), "en", "a", 1)]
+        pairs.append((similarity, 2 * n + 1))
+    shared = " ".join(f"s{i}" for i in range(150))
+    for n in range(1000, 1080):
+        rows.append((n, shared + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(300)), "en", "a", 1))
+        plain.append(n)
+    kept = {r.doc_id for r in cp.one_of_near_duplicates(spark, spark.createDataFrame(rows, DOC), data).collect()}
+    assert set(range(0, 360, 2)) | set(plain) <= kept
+    found = {s: sum(i not in kept for t, i in pairs if t == s) / 60 for s in (0.85, 0.9, 0.95)}
+    assert found[0.85] > 0.6 and found[0.9] > 0.85 and found[0.95] > 0.95, found
+
+
 def test_rows_of_one_id_that_are_no_copies(spark, data):
     rows = [(1, "one two three four five six", "en", "a", 1), (5, "one two three four five six", "en", "a", 1), (5, "quite another text with other words in it", "en", "a", 1), (5, "quite another text with other words in it", "en", "a", 1), (None, "x", "en", "a", 1), (None, "x", "en", "a", 1)]
     out = cp.one_of_near_duplicates(spark, spark.createDataFrame(rows, DOC), data).collect()
