@@ -261,3 +261,8 @@ def link_score(url: Column, known_platform: Column) -> Column:
     for pattern, n in points:
         total = total + F.when(text.rlike(pattern), n).otherwise(0)
     return F.when(known_platform, 1000).otherwise(total)
+
+
+def lane(p0: Column, p1: Column, others: Column) -> Column:
+    """The lane of a tenant by its postings of each priority."""
+    return F.when((p0 >= p1) & (p0 >= others), "technology").when(p1 >= others, "consultHr").otherwise("other")

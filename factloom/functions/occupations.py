@@ -116,14 +116,19 @@ SPECIALTIES = (
 GENERIC = r"総合職|オープンポジション|職種未定|ポジション相談|general position"
 
 
-def classify(title: Column, description: Column) -> Column:
+def specialties(title: Column, description: Column) -> Column:
+    """The tags that a title and a whole description name."""
+    return all_matches(F.concat_ws("\n", title, F.coalesce(description, F.lit(""))), SPECIALTIES)
+
+
+def classify(title: Column, description: Column, tags: Column | None = None) -> Column:
     """struct(family, role, secondary: array of struct(family, role), tags, confidence).
 
     All rules that the title matches count; a description's first 600 characters only if the title is generic and
     matches none, and if their rules are of one family. The first rule is primary; at most two more families follow.
     """
     patterns = [p for _, _, p in RULES]
-    tags = all_matches(F.concat_ws("\n", title, F.coalesce(description, F.lit(""))), SPECIALTIES)
+    tags = specialties(title, description) if tags is None else tags
 
     def by_title(found: Column) -> Column:
         text = F.when((F.size(found) == 0) & matches(title, GENERIC), F.substring(F.coalesce(description, F.lit("")), 1, 600))

@@ -14,17 +14,24 @@ def resolve(records: DataFrame, id_: str, keys: Sequence[str]) -> DataFrame:
     """records with entity: the smallest id that is reached over shared key values. Null keys join nothing.
 
     A record and a key value are the two sides of a bipartite graph; each round every value takes the smallest label of
-    its records, and every record that of its values. Grouping sends one row a value and task, so a value that many
-    records share is no hot join. The sequential rule (existing link, then URL, then posting id) gives the same
-    entities when no record bridges two of them; a bridge joins them here, whatever came first.
+    its records, every record that of its values, and then the label of that label, so that rounds grow with the
+    logarithm of a chain. Values of more records than a task's share, fewer than there are tasks, come back by a
+    broadcast, so no shared value is a hot join key.
     """
     pairs = records.select(id_, F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v"))) for k in keys]))).alias("x")).select(id_, "x.k", "x.v")
     pairs = kept(pairs)
+    share = pairs.count() / int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = kept(pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("k", "v", F.lit(True).alias("hot")))
+    marked = kept(pairs.join(F.broadcast(hot), ["k", "v"], "left"))
     labels = records.select(id_, F.col(id_).alias("entity"))
     while True:
-        at_value = pairs.join(labels, id_).groupBy("k", "v").agg(F.min("entity").alias("low"))
-        new = pairs.join(at_value, ["k", "v"]).groupBy(id_).agg(F.min("low").alias("low"))
-        moved = kept(labels.join(new, id_, "left").select(id_, F.coalesce(F.least("entity", "low"), "entity").alias("entity"), (F.col("low") < F.col("entity")).alias("moved")))
+        at_value = marked.join(labels, id_).groupBy("k", "v", "hot").agg(F.min("entity").alias("low"))
+        few = marked.where("hot").join(F.broadcast(at_value.where("hot").select("k", "v", "low")), ["k", "v"])
+        rest = marked.where("hot is null").join(at_value.where("hot is null").select("k", "v", "low"), ["k", "v"])
+        new = few.select(id_, "low").union(rest.select(id_, "low")).groupBy(id_).agg(F.min("low").alias("low"))
+        stepped = labels.join(new, id_, "left").select(id_, F.col("entity").alias("was"), F.coalesce(F.least("entity", "low"), "entity").alias("entity"))
+        further = labels.select(F.col(id_).alias("entity"), F.col("entity").alias("beyond"))
+        moved = kept(stepped.join(further, "entity", "left").select(id_, "was", F.least("entity", "beyond").alias("entity")))
         labels = moved.select(id_, "entity")
-        if not moved.where("moved").limit(1).count():
+        if not moved.where("entity < was").limit(1).count():
             return records.join(labels, id_)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import scratch
+
 
 def top_one(df: DataFrame, keys: Sequence[str], *order: Column | str, k: int = 1) -> DataFrame:
     """The first k rows of each key; Spark keeps k rows a key before the shuffle."""
@@ -110,12 +112,9 @@ def global_rank(df: DataFrame, *order: Column, partitions: int | None = None, na
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage: in the shared checkpoint folder, or in memory where none is set, as in tests."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    held = df.cache()
-    held.count()
-    return held
+    """Cut off from its lineage by a checkpoint in the shared folder."""
+    scratch(df.sparkSession, "")
+    return df.checkpoint(eager=True)
 
 
 def ranked_by_score(df: DataFrame, score: str, title: str, key: str, collation: str = "UNICODE") -> DataFrame:
@@ -123,23 +122,9 @@ def ranked_by_score(df: DataFrame, score: str, title: str, key: str, collation:
     return global_rank(df, F.desc(score), F.collate(F.col(title), collation), F.col(key))
 
 
-def rotate(values: Sequence[str], seed: int) -> list[str]:
-    """values begun at seed modulo their number."""
-    at = seed % len(values) if values else 0
-    return [*values[at:], *values[:at]]
-
-
 def latency_percentiles(df: DataFrame, value: str) -> DataFrame:
     """n, p50 and p95 by place in the sorted values (from 0): floor(n * 0.5) and ceil(n * 0.95) - 1."""
     ranked = global_rank(df.where(F.col(value).isNotNull()).select(value), F.col(value))
     total = ranked.agg(F.count(F.lit(1)).alias("n"))
     at = lambda place: F.max(F.when(F.col("rank") == place + 1, F.col(value)))
     return ranked.join(F.broadcast(total)).groupBy("n").agg(at(F.floor(F.col("n") * 0.5)).alias("p50"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
-
-
-def to_pandas_report(df: DataFrame, most: int = 1000) -> pd.DataFrame:
-    """A report's rows on the driver; more than `most` is an error."""
-    rows = df.limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"a report of more than {most} rows")
-    return rows

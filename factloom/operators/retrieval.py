@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from factloom.operators.ranking import top_one
 
 
-def rank_sections(sections: DataFrame, doc: str, ordinal: str, text: str, fields: dict[str, tuple[Column, Sequence[str]]], per_field: int = 4, most: int = 8) -> DataFrame:
+def rank_sections(sections: DataFrame, doc: str, ordinal: str, text: str, fields: dict[str, tuple[Column, Sequence[str]]], per_field: int = 4, most: int = 8, similarity: str | None = None) -> DataFrame:
     """Sections chosen for a document: each field takes its best by 100 for the kind and 10 a keyword, if above 0;
-    together in order, at most `most`."""
+    together in order, at most `most`. A document of which nothing is chosen so has its `most` sections of the largest
+    similarity (a column, null: none), if that is given."""
     score = lambda kind, keywords: F.when(kind, 100).otherwise(0) + 10 * reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in keywords], F.lit(0))
     scored = sections.select(doc, ordinal, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), score(*f).alias("score")) for n, f in fields.items()])).alias("x")).select(doc, ordinal, "x.*").where("score > 0")
     chosen = top_one(scored, [doc, "field"], F.desc("score"), ordinal, k=per_field).select(doc, ordinal).distinct()
     kept = chosen.withColumn("_i", F.row_number().over(Window.partitionBy(doc).orderBy(ordinal))).where(F.col("_i") <= most).drop("_i")
+    if similarity:
+        rest = sections.where(F.col(similarity).isNotNull()).join(kept, doc, "left_anti")
+        kept = kept.union(top_one(rest, [doc], F.desc(similarity), ordinal, k=most).select(doc, ordinal))
     return sections.join(kept, [doc, ordinal])
 
 

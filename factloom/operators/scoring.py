@@ -7,9 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import occupations
 from factloom.functions.dates import freshness_score
 from factloom.functions.jobs import annual_maximum, title_employment
 from factloom.functions.text import matches
+from factloom.operators.ranking import kept
+from factloom.session import spread
 
 #: Dimensions in order, and the most of each.
 DIMENSIONS = {"role_direction": 25, "skills": 25, "language": 15, "recruitment_channel": 10, "location_remote": 10, "employment": 5, "compensation": 5, "freshness_source": 5}
@@ -90,3 +93,19 @@ def evaluate(jobs: DataFrame, profile: Profile, now: Column, role_weight: Column
 
 def top_for_explanation(ranked: DataFrame, most: int = 10) -> DataFrame:
     return ranked.where("eligible").orderBy("rank").limit(most)
+
+
+#: Distinct titles up to which their occupations are sent to every task.
+FEW_TITLES = 50_000
+
+
+def with_occupation(jobs: DataFrame, title: Column, description: Column, name: str = "occupation") -> DataFrame:
+    """jobs with the occupation of each, which is worked out once for each distinct title and beginning of a description.
+
+    Titles repeat much, and their patterns cost more than a join. Up to FEW_TITLES distinct ones are broadcast; more
+    come by a shuffle, in which Spark splits a title of very many jobs.
+    """
+    keyed = jobs.withColumns({"_title": F.coalesce(title, F.lit("")), "_text": F.substring(F.coalesce(description, F.lit("")), 1, 600), "_tags": occupations.specialties(title, description)})
+    each = kept(spread(keyed.select("_title", "_text", "_tags").distinct()).withColumn(name, occupations.classify(F.col("_title"), F.col("_text"), F.col("_tags"))))
+    few = each.limit(FEW_TITLES + 1).count() <= FEW_TITLES
+    return keyed.join(F.broadcast(each) if few else each, ["_title", "_text", "_tags"]).drop("_title", "_text", "_tags")

@@ -48,11 +48,11 @@ def chunked(docs: DataFrame, key: str, text: str, most: int = html.MAX_SECTION)
 
 
 @query("RAG-02", "RAG-06", oracle="""
-    WITH c AS (SELECT doc_id AS section_id, field, quote, raw_value FROM documents, (SELECT CASE WHEN item_id % 2 = 0 THEN 'skills' ELSE 'other' END AS field, text AS quote, substr(text, 1, 10) AS raw_value FROM benchmark))
+    WITH c AS (SELECT doc_id AS section_id, field, quote, raw_value FROM documents, (SELECT 'skills' AS field, text AS quote, substr(text, 1, 10) AS raw_value FROM benchmark))
     SELECT section_id, quote, raw_value FROM c JOIN documents d ON d.doc_id = section_id WHERE field = 'skills' AND contains(d.text, quote)""")
 def quote_validation(spark: SparkSession, d: str) -> DataFrame:
     """Which documents quote which benchmark items word for word."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("section_id"), "text")
-    items = t(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "skills").otherwise("other").alias("field"), F.col("text").alias("quote"), F.substring("text", 1, 10).alias("raw_value")).where("field = 'skills'")
+    items = t(spark, d, "benchmark").select(F.lit("skills").alias("field"), F.col("text").alias("quote"), F.substring("text", 1, 10).alias("raw_value"))
     near = combine.contained(docs, items, "section_id", "text", "quote").join(items, "quote")
     return retrieval.valid_quotes(near, docs, ["skills"]).select("section_id", "quote", "raw_value")

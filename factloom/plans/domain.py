@@ -10,6 +10,7 @@ from factloom.operators import facts, scoring
 from factloom.operators.ranking import global_rank
 from factloom.plans.catalog import query
 from factloom.plans.scalars import part_title
+from factloom.session import spread
 from factloom.session import table as t
 
 _FAMILY = "CASE p_size % 8 WHEN 0 THEN 'it_web_software' WHEN 1 THEN 'sales_customer_success' WHEN 2 THEN 'corporate_management' WHEN 3 THEN 'office_administration' WHEN 4 THEN 'it_web_software' WHEN 5 THEN 'retail_service_hospitality' WHEN 6 THEN 'welfare_care' ELSE 'other' END"
@@ -19,8 +20,8 @@ _ROLE = "CASE p_size % 8 WHEN 0 THEN 'general_software_engineer' WHEN 1 THEN 'sa
 @query("CLS-05", "CLS-10", oracle=f"""
     SELECT p_partkey, {_FAMILY} AS family, {_ROLE} AS role, CASE WHEN p_size % 8 = 7 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN p_size % 8 IN (0, 4) THEN 1.0 WHEN p_size % 8 = 1 THEN 0.4 ELSE 0.0 END::DOUBLE AS weight FROM part""")
 def occupations_of_titles(spark: SparkSession, d: str) -> DataFrame:
-    o = occupations.classify(part_title(), F.lit(None).cast("string"))
-    return t(spark, d, "part").select("p_partkey", o.alias("o")).select("p_partkey", "o.family", "o.role", "o.confidence", occupations.role_weight(F.col("o"), {"product_web_ai_engineering": 1.0, "sales_management": 0.4}).alias("weight"))
+    classed = scoring.with_occupation(spread(t(spark, d, "part").select("p_partkey", "p_type", "p_size")), part_title(), F.lit(None).cast("string"), "o")
+    return classed.select("p_partkey", "o.family", "o.role", "o.confidence", occupations.role_weight(F.col("o"), {"product_web_ai_engineering": 1.0, "sales_management": 0.4}).alias("weight"))
 
 
 @query("AGG-14", "CLS-05", oracle=f"""
@@ -29,7 +30,7 @@ def occupation_facets(spark: SparkSession, d: str) -> DataFrame:
     from factloom.operators.combine import facet_counts
 
     known = spark.createDataFrame([(x,) for x in occupations.FAMILIES], "family string")
-    classed = t(spark, d, "part").select("p_partkey", occupations.classify(part_title(), F.lit(None).cast("string")).alias("o"))
+    classed = scoring.with_occupation(t(spark, d, "part"), part_title(), F.lit(None).cast("string"), "o")
     return facet_counts(classed, "p_partkey", occupations.all_families(F.col("o")), known)
 
 
@@ -143,7 +144,7 @@ def job_table(spark: SparkSession, d: str) -> DataFrame:
     spoken = F.array(F.struct(F.lit("ja").alias("language"), F.lit("N2").alias("level"), F.lit("required").alias("requirement")))
     pay = F.array(F.struct(F.lit("total").alias("kind"), F.lit("JPY").alias("currency"), F.lit("year").alias("period"), F.lit(3_000_000).cast("decimal(16,2)").alias("minimum"), (3_500_000 + (k % 10) * 100_000).cast("decimal(16,2)").alias("maximum"), F.lit(False).alias("calculated")))
     years = F.when(k % 11 == 0, F.array(F.struct(F.lit(5).alias("years"), F.lit("required").alias("requirement")))).otherwise(F.array().cast("array<struct<years:int,requirement:string>>"))
-    return t(spark, d, "customer").select(
+    return spread(t(spark, d, "customer").select("c_custkey")).select(
         k, F.concat(F.when(k % 5 == 0, "新卒 ").otherwise(""), F.when(k % 2 == 0, "software engineer").otherwise("営業事務")).alias("title"), F.lit(None).cast("string").alias("description"), F.when(k % 13 == 0, "closed").otherwise("active").alias("lifecycle_state"), (k % 4 != 0).alias("verified"),
         F.when(k % 7 == 0, F.lit("2024-01-30 12:00:00")).otherwise(F.lit("2024-01-01 00:00:00")).cast("timestamp").alias("fetched_at"), facts.fact(F.when(k % 6 == 0, none).when(k % 6 == 1, F.array(F.lit("dispatch"))).otherwise(F.array(F.lit("permanent"))), "not_mentioned").alias("employment"),
         facts.fact(F.array(jobs.location(place))).alias("locations"), facts.fact(skills).alias("skills"), facts.fact(spoken).alias("languages"), jobs.visa_support(F.lit("")).alias("visa"), facts.fact(pay).alias("compensation"), facts.fact(years).alias("experience"))
@@ -164,8 +165,8 @@ def _now() -> Column:
         array_to_string(list_filter([CASE WHEN k % 13 = 0 THEN 'job_not_active' END, CASE WHEN k % 4 = 0 THEN 'no_verified_official_source' END, CASE WHEN k % 6 = 0 THEN 'employment_unresolved' END, CASE WHEN k % 6 = 1 THEN 'explicitly_excluded_employment' END, CASE WHEN k % 3 <> 0 THEN 'explicit_location_conflict' END], lambda v: v IS NOT NULL), ',') AS hard_rejects FROM x)
     SELECT k AS c_custkey, score, eligible, hard_rejects, row_number() OVER (ORDER BY score DESC, k) AS rank FROM y""")
 def score_rank(spark: SparkSession, d: str) -> DataFrame:
-    table = job_table(spark, d)
-    weight = occupations.role_weight(occupations.classify(F.col("title"), F.col("description")), {"product_web_ai_engineering": 1.0})
+    table = scoring.with_occupation(job_table(spark, d), F.col("title"), F.col("description"))
+    weight = occupations.role_weight(F.col("occupation"), {"product_web_ai_engineering": 1.0})
     scored = scoring.evaluate(table, profile(), _now(), weight)
     return global_rank(scored.select("c_custkey", "score", "eligible", F.array_join("hard_rejects", ",").alias("hard_rejects")), F.desc("score"), F.col("c_custkey"))
 

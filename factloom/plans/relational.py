@@ -213,10 +213,10 @@ def normalised_name_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("JOI-15", "RAG-02", oracle="""
-    SELECT doc_id, arg_min(w, (-length(w), w)) AS name FROM documents, (SELECT DISTINCT substr(text, 1, 24) AS w FROM benchmark) WHERE contains(text, w) AND length(w) >= 4 GROUP BY doc_id""")
+    SELECT doc_id, arg_min(w, (-length(w), w)) AS name FROM documents, (SELECT DISTINCT text AS w FROM benchmark) WHERE contains(text, w) AND length(w) >= 4 GROUP BY doc_id""")
 def longest_name_in_text(spark: SparkSession, d: str) -> DataFrame:
-    names = t(spark, d, "benchmark").select(F.substring("text", 1, 24).alias("name"))
-    return combine.longest_contained(t(spark, d, "documents").select("doc_id", "text"), names, "doc_id", "text", "name", least=24)
+    names = t(spark, d, "benchmark").select(F.col("text").alias("name"))
+    return combine.longest_contained(t(spark, d, "documents").select("doc_id", "text"), names, "doc_id", "text", "name")
 
 
 @query("JOI-16", "DML-08", oracle="""
@@ -259,11 +259,11 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRT-06", "STA-14", oracle="""
     WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS i FROM orders
-        WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND (o_orderpriority <> '1-URGENT' OR o_orderkey % 97 = 0)),
+        WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
     q AS (SELECT *, i <= CASE o_orderpriority WHEN '1-URGENT' THEN 50 ELSE 25 END AS own FROM r), z AS (SELECT *, row_number() OVER (ORDER BY own DESC, o_orderdate, o_orderkey) AS n FROM q)
     SELECT o_orderkey, o_orderpriority, o_orderdate, NOT own AS borrowed FROM z WHERE n <= 100""")
 def weighted_claim(spark: SparkSession, d: str) -> DataFrame:
-    queue = t(spark, d, "orders").where("o_orderpriority <> '1-URGENT' or o_orderkey % 97 = 0").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    queue = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     return ranking.weighted_claim(queue, "o_orderpriority", {"1-URGENT": 0.5, "2-HIGH": 0.25, "3-MEDIUM": 0.25}, 100, ["o_orderdate", "o_orderkey"])
 
 

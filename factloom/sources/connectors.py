@@ -13,6 +13,7 @@ from urllib.parse import urlsplit
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from factloom.sources.html import job_posting, json_ld, links, location_text, parse
@@ -163,3 +164,26 @@ class RecordedPages(DataSource):
 def recorded_pages(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(RecordedPages)
     return spark.read.format("recorded_pages").option("path", path).load()
+
+
+#: Columns of a seed file: platforms' tenants that are known from elsewhere.
+SEED = "kind string, tenantKey string, companyName string"
+
+
+def seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Seeds of a JSON file (an array of objects); none where there is no such file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], SEED)
+    return spark.read.schema(SEED).json(path, multiLine=True)
+
+
+def company_names(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct names of a CSV file with quoted fields: those under the heading that speaks of a company's or an issue's
+    name, of three characters or more with a letter among them. Without such a heading there are none."""
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    heading = next((c for c in rows.columns if re.search(r"(?:issue|company).*name|name.*(?:issue|company)", c, re.I)), None)
+    if heading is None:
+        return spark.createDataFrame([], "name string")
+    name = F.trim(F.col(f"`{heading}`"))
+    return rows.select(name.alias("name")).where((F.char_length("name") >= 3) & F.col("name").rlike("[A-Za-z\u3000-\u30ff\u3400-\u9fff]")).distinct()

@@ -8,7 +8,7 @@ import re
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.urls import detect_source, same_site
@@ -121,8 +121,43 @@ def tenants_in_text(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(urls, detect_source)))
 
 
-def search_queries(shards: list[str], most: int = 30) -> list[str]:
-    return [f'"{host}" in:file {s}' for kind, host in SEARCH_HOSTS.items() for s in (shards if kind == "workday" else shards[:3])][:most]
+def search_queries(spark: SparkSession, shards: list[str], seed: int = 0, most: int = 30) -> DataFrame:
+    """place, query: code searches for each platform's host in each shard (three of them but for one platform), the first
+    `most`, begun at seed modulo their number."""
+    hosts = spark.createDataFrame([(i, k, h) for i, (k, h) in enumerate(SEARCH_HOSTS.items())], "i int, kind string, host string")
+    own = F.when(F.col("kind") == "workday", F.lit(shards)).otherwise(F.lit(shards[:3]))
+    each = hosts.select("i", "host", F.posexplode(own).alias("j", "shard")).orderBy("i", "j").limit(most)
+    place = F.row_number().over(Window.orderBy("i", "j")) - 1
+    numbered = each.select(place.alias("at"), F.format_string('"%s" in:file %s', "host", "shard").alias("query"))
+    return numbered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).select(F.pmod(F.col("at") - seed, F.col("n")).cast("int").alias("place"), "query")
+
+
+def harvest(pages: DataFrame, budget: int, deadline: float, full: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(summary: kind, candidates; state: requests_used, truncated) of recorded searches under a budget and a deadline.
+
+    pages: query_no, page_no, n_items, incomplete, ended_at (seconds), candidates array<struct<kind, tenant>>. A query
+    stops after a page that is not full; requests go on in order until the budget is used or a page ends after the
+    deadline. Only requests within the budget are numbered, so one task holds no more rows than that.
+    """
+    ends = pages.where(F.col("n_items") < full).groupBy("query_no").agg(F.min("page_no").alias("_last"))
+    asked = pages.join(ends, "query_no", "left").where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))).drop("_last")
+    first = asked.orderBy("query_no", "page_no").limit(budget)
+    late = F.max(F.col("ended_at") >= deadline).over(Window.orderBy("query_no", "page_no").rowsBetween(Window.unboundedPreceding, -1))
+    done = first.withColumn("_late", F.coalesce(late, F.lit(False))).where("not _late")
+    state = done.agg(F.count(F.lit(1)).alias("requests_used"), F.coalesce(F.bool_or(F.col("incomplete") | (F.col("ended_at") >= deadline)), F.lit(False)).alias("_cut"))
+    summary = done.select(F.explode("candidates").alias("c")).select("c.kind", "c.tenant").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("candidates"))
+    return summary, state.select("requests_used", (F.col("_cut") | (F.col("requests_used") >= budget)).alias("truncated"))
+
+
+def deepest_sources(found: DataFrame) -> DataFrame:
+    """One row of found (company, kind, tenant, url, collection, place) for each source of a company: a collection is
+    one whatever its URL, other sources are one a URL; the URL with the deepest path counts, then the first by place.
+    A posting page that is really one of a known platform is left to that platform."""
+    depth = F.size(F.split(F.parse_url("url", F.lit("PATH")), "/"))
+    real = detect_source(F.col("url"))
+    usable = found.where(~((F.col("kind") == "schema_org") & F.coalesce(real["kind"] == "hrmos", F.lit(False))))
+    own = usable.groupBy("company", "kind", "tenant", F.when(~F.col("collection"), F.col("url")).alias("_single"))
+    return own.agg(F.max_by("url", F.struct(depth, -F.col("place"))).alias("url")).drop("_single")
 
 
 def link_priority(url: Column) -> Column:

@@ -153,3 +153,17 @@ def discovery_mode(mode: Column) -> Column:
 def backfill_days(queue_empty: Column, verified_left: Column, low_growth_scans: Column, trusted: Column) -> Column:
     """183 days once there is nothing else to do and growth has stopped short of the aim; else the usual 30."""
     return F.when(queue_empty & (verified_left > 0) & (low_growth_scans >= 2) & (trusted < 5000), 183).otherwise(30)
+
+
+def provider_error(status: Column, name: Column, message: Column) -> Column:
+    """struct(code, retryable) of a model provider's error: refused or unfit requests are not tried again."""
+    code = F.when(status.isNotNull(), F.concat(F.lit("http_"), status.cast("string"))).when(name == "TimeoutError", "timeout").when(F.coalesce(message, F.lit("")).rlike("(?i)invalid JSON"), "invalid_json").otherwise("provider_error")
+    final = F.coalesce(status.isin(400, 401, 403, 404, 422), F.lit(False)) | F.coalesce(message, F.lit("")).rlike("(?i)schema|outside the current|quote")
+    return F.struct(code.alias("code"), (~final).alias("retryable"))
+
+
+def consecutive_days(passed: DataFrame, at: str, zone: str = "Asia/Tokyo") -> DataFrame:
+    """day, consecutive (1 or 2) of the calendar days of a zone on which a check passed: 2 where it passed the day before too."""
+    days = passed.select(F.to_date(F.from_utc_timestamp(F.col(at).cast("timestamp"), zone)).alias("day")).distinct()
+    before = days.select(F.date_add("day", 1).alias("day"), F.lit(2).alias("_two"))
+    return days.join(before, "day", "left").select("day", F.coalesce("_two", F.lit(1)).alias("consecutive"))
