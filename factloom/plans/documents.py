@@ -14,7 +14,7 @@ from factloom.session import table as t
 from factloom.sources import html
 
 
-@query("DOC-03", "SRC-17", "SRC-06", "SRC-07", oracle=r"""
+@query("DOC-03", oracle=r"""
     SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="')) AS links, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS distinct_links, contains(html, '<h1>') AS has_h1 FROM pages""")
 def html_title_links(spark: SparkSession, d: str) -> DataFrame:
     body = F.col("html")

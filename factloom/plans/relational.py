@@ -219,7 +219,7 @@ def longest_name_in_text(spark: SparkSession, d: str) -> DataFrame:
     return combine.longest_contained(t(spark, d, "documents").select("doc_id", "text"), names, "doc_id", "text", "name")
 
 
-@query("JOI-16", "DML-08", oracle="""
+@query("JOI-16", oracle="""
     SELECT c_custkey, c_acctbal + coalesce(paid, 0) AS balance, paid IS NOT NULL AS updated FROM customer
     LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS paid FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON o_custkey = c_custkey
     WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')""")
@@ -283,7 +283,7 @@ def quota_per_kind(spark: SparkSession, d: str) -> DataFrame:
     return ranking.quota_per_kind(t(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", ["Brand#11", "Brand#12", "Brand#13"], 20, ["p_partkey"])
 
 
-@query("SRT-02", "STR-16", oracle="""
+@query("SRT-02", oracle="""
     WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
     SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 5) AS distance FROM embeddings, q WHERE vec_id <> 0 AND len(embedding) = len(e)
     ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 5), vec_id LIMIT 200""")
@@ -383,7 +383,7 @@ def json_path(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(parsed["flag"], F.lit(False)).alias("flag")).where("k is not null")
 
 
-@query("FIL-09", "FIL-10", "DML-05", oracle="""
+@query("FIL-09", "FIL-10", oracle="""
     SELECT user_id, bool_or(event_type = 'purchase') AS applied, CASE WHEN bool_or(event_type = 'error') THEN 'hidden' WHEN bool_or(event_type = 'purchase') THEN 'applied' WHEN bool_or(event_type = 'click') THEN 'saved' ELSE 'recommendations' END AS view FROM events GROUP BY user_id""")
 def view_filter(spark: SparkSession, d: str) -> DataFrame:
     has = lambda x: F.bool_or(F.col("event_type") == x)
@@ -440,7 +440,7 @@ def upsert_report(spark: SparkSession, d: str) -> DataFrame:
     return upsert(counts(early), counts(~early), ["k"])
 
 
-@query("SRT-10", "RAG-01", oracle="""
+@query("SRT-10", oracle="""
     WITH s AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'ordinal': i - 1, 'line': x}), recursive := true) FROM documents),
     f AS (SELECT doc_id, ordinal, field, CASE WHEN field = 'first' AND ordinal = 0 THEN 100 ELSE 0 END + 10 * ((CASE WHEN contains(line, a) THEN 1 ELSE 0 END) + (CASE WHEN contains(line, b) THEN 1 ELSE 0 END)) AS score FROM s, (VALUES ('first', ' the ', ' der '), ('second', ' la ', ' en ')) k(field, a, b)),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, ordinal) AS i FROM f WHERE score > 0), u AS (SELECT DISTINCT doc_id, ordinal FROM r WHERE i <= 4)
@@ -453,7 +453,7 @@ def section_rank(spark: SparkSession, d: str) -> DataFrame:
     return rank_sections(lines, "doc_id", "ordinal", "line", fields).select("doc_id", "ordinal")
 
 
-@query("WIN", oracle="""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders""")
+@query(oracle="""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders""")
 def running_total(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     return t(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import jobs, text, urls
-from factloom.plans.catalog import query
+from factloom.plans.catalog import ORACLES, query
 from factloom.session import table as t
 
 _TRACKING = "'" + "', '".join(urls.TRACKING) + "'"
@@ -27,7 +27,7 @@ def url_normalised(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", urls.normalise_plain_url(F.col("url")).alias("url"))
 
 
-@query("STR-01")
+@query("STR-01", oracle=ORACLES["url_normalised"])
 def url_normalised_any(spark: SparkSession, d: str) -> DataFrame:
     """The form for any URL; equal to the one above where that applies."""
     return t(spark, d, "pages").select("page_id", urls.normalise_url(F.col("url")).alias("url"))
@@ -73,7 +73,7 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", text.concise_quote(body, 40).alias("quote"), text.includes_folded(body, F.lit("THE OF")).alias("folded"), text.escape_html(text.concise_quote(body, 60)).alias("escaped"), text.company_from_title(F.concat_ws(" / ", "source", "lang")).alias("company"))
 
 
-@query("STR-05", "STR-09", oracle=r"""
+@query("STR-05", oracle=r"""
     WITH x AS (SELECT doc_id, replace(text, ' ', chr(160) || '  ') || chr(13) || chr(10) || chr(10) || chr(10) || ' end  ' AS raw FROM documents)
     SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(raw, chr(160), ' '), '[ \t\f\v]+', ' ', 'g'), ' *\r?\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9))) AS cleaned FROM x""")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,9 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.sha2(text.clean_text(raw), 256).alias("cleaned"))
 
 
-@query("STR-07", "STR-10", "STR-11", "STR-17", "SCO-02")
+@query("STR-07", "STR-10", "STR-11", "STR-17", "SCO-02", oracle="""
+    WITH k AS (SELECT o_custkey, sha256('{"version":"v1","inputs":[' || string_agg('{"id":' || o_orderkey || ',"score":' || o_totalprice || '}', ',' ORDER BY o_orderkey) || ']}') AS run_key FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, run_key, sha256('{"kind":"enrich","parts":{"job":' || o_custkey || ',"model":"m"}}') AS task_key, '{"title":"t","company":"c","description":"' || run_key || '"}' AS input FROM k""")
 def stable_keys(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders")
     keyed = orders.groupBy("o_custkey").agg(text.run_key(F.lit("v1"), F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")))).alias("run_key"))
@@ -105,7 +107,7 @@ def japan_locations(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select("s_suppkey", a.alias("a")).select("s_suppkey", jobs.japan_location(F.col("a")).alias("state"), jobs.country_code(F.col("a")).alias("country"), jobs.place_bucket(F.col("a")).alias("bucket"))
 
 
-@query("CLS-11", "CLS-12", "PRO-01", oracle="""
+@query("CLS-11", "PRO-01", oracle="""
     WITH x AS (SELECT p_partkey, [200, 403, 404, 410, 429, 500, 503, 418][p_partkey % 8 + 1] AS s FROM part)
     SELECT p_partkey, CASE WHEN s = 403 THEN 'forbidden' WHEN s IN (404, 410) THEN 'record_closed' WHEN s = 429 THEN 'rate_limited' WHEN s >= 500 THEN 'upstream_error' WHEN s >= 400 THEN 'schema_changed' END AS code, CASE WHEN s >= 400 THEN s = 429 OR s >= 500 END AS retryable,
         CASE WHEN p_partkey % 7 = 0 THEN 'promoted_active' WHEN s <> 200 AND s < 500 THEN 'unreachable' WHEN p_partkey % 5 = 0 THEN 'insecure_source' WHEN p_partkey % 3 = 0 THEN 'unsupported_source' WHEN p_partkey % 2 = 0 THEN 'unstructured_career_page' ELSE 'verified_no_current_job' END AS status FROM x""")
@@ -117,7 +119,7 @@ def error_codes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", jobs.http_error(F.col("s")).alias("e"), status.alias("status")).select("p_partkey", "e.code", "e.retryable", "status")
 
 
-@query("PRO-05", "PRO-06", "SRT-08", "PRO-02", oracle=r"""
+@query("PRO-05", "SRT-08", oracle=r"""
     WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS href FROM pages), u AS (SELECT page_id, 'https://example.com/jobs' || href AS url FROM l),
     s AS (SELECT page_id, url, 100 + CASE WHEN regexp_matches(lower(url), 'career|recruit|採用|求人|募集') THEN 40 ELSE 0 END + CASE WHEN regexp_matches(lower(url), 'guideline|requirement|recruitment|detail|information') THEN 25 ELSE 0 END
         - CASE WHEN regexp_matches(lower(url), 'contact|entry|interview|message|about|welfare|faq|voice|member|data|environment|privacy|news|blog|twitter|facebook') THEN 60 ELSE 0 END - CASE WHEN regexp_matches(url, '\.(pdf|jpg|jpeg|png)$') THEN 100 ELSE 0 END AS score FROM u)
@@ -141,7 +143,7 @@ def primary_source(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("user_id").agg(F.max_by("event_id", F.struct("p", -F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id"))).alias("primary_event"), F.max("p").alias("priority"))
 
 
-@query("SRC-21", "SRC-20", "PRO-07", "PRO-09", oracle="""
+@query("SRC-20", "PRO-07", "PRO-09", oracle="""
     SELECT s_suppkey, 'lever' AS kind, 't' || s_suppkey AS tenant FROM supplier UNION ALL SELECT s_suppkey, 'ashby', 'a' || (s_suppkey % 5) FROM supplier""")
 def tenants_in_text(spark: SparkSession, d: str) -> DataFrame:
     from factloom.sources.crawl import tenants_in_text as find
@@ -151,7 +153,7 @@ def tenants_in_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select("s_suppkey", F.explode(find(body)).alias("x")).select("s_suppkey", "x.kind", "x.tenant").distinct()
 
 
-@query("NUM-01", "NUM-03", "NUM-04", "DUP-08", "SET-02", oracle="""
+@query("NUM-01", "NUM-03", "NUM-04", "SET-02", oracle="""
     SELECT o_orderkey, greatest(0, least(25, floor(25 * (o_orderkey % 7) / 6 + 0.5)))::INTEGER AS score, round((o_orderkey % 7) / 6, 6) AS share FROM orders""")
 def number_rules(spark: SparkSession, d: str) -> DataFrame:
     part = F.col("o_orderkey") % 7

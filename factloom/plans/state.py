@@ -23,7 +23,7 @@ def hour_bucket(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("user_id", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).distinct()
 
 
-@query("STA-09", "DML-11", "PRO-18", oracle="""
+@query("STA-09", "PRO-18", oracle="""
     WITH a AS (SELECT event_id, user_id, ts FROM events UNION ALL SELECT event_id, user_id, ts + INTERVAL 1 HOUR FROM events WHERE event_id % 3 = 0), o AS (SELECT event_id, user_id, min(ts) AS ts FROM a GROUP BY ALL)
     SELECT user_id, count(*) AS observation_count, max(ts) AS last_seen_at FROM o GROUP BY user_id""")
 def dedup_observations(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def dedup_observations(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("user_id").agg(F.count(F.lit(1)).alias("observation_count"), F.max("ts").alias("last_seen_at"))
 
 
-@query("STA-05", "STA-06", "STA-07", "DML-03", "DML-06", oracle="""
+@query("STA-05", "STA-06", "DML-03", oracle="""
     WITH o AS (SELECT user_id AS identity, event_id, min(ts) AS ts, any_value(event_type) AS event_type, any_value(props) AS props FROM events GROUP BY ALL), l AS (SELECT * FROM o WHERE identity % 17 <> 3)
     SELECT identity, count(*) AS observation_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max(props, (length(props), -epoch_us(ts))) AS title, min('p' || (event_id % 4)::VARCHAR) AS priority,
         arg_min(event_type, (ts, event_id::VARCHAR)) FILTER (event_type = 'signup') AS official_url, CASE max(CASE event_type WHEN 'purchase' THEN 4 WHEN 'click' THEN 2 ELSE 1 END) WHEN 4 THEN 'official_collection' WHEN 2 THEN 'search_index' ELSE 'aggregator_lead' END AS origin_kind,
@@ -94,7 +94,7 @@ def refresh_policy(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", p.alias("p"), score.alias("score"), dates.retry_seconds(k % 12 + 1).alias("retry_s"), dates.retry_hours(k % 12).alias("retry_h")).select("o_orderkey", "p.*", "score", "retry_s", "retry_h")
 
 
-@query("STA-02", "STA-01", "SRC-00", oracle="""
+@query("STA-02", oracle="""
     WITH r AS (SELECT event_type AS source_id, ts::DATE AS day, user_id AS k FROM events GROUP BY ALL), days AS (SELECT DISTINCT source_id, day FROM r),
     c AS (SELECT source_id, day, count(*) AS jobs FROM r GROUP BY ALL), p AS (SELECT source_id, day + 1 AS day, count(*) AS previous FROM r GROUP BY ALL),
     s AS (SELECT a.source_id, a.day + 1 AS day, count(*) AS still FROM r a JOIN r b ON a.source_id = b.source_id AND a.k = b.k AND b.day = a.day + 1 GROUP BY ALL),
@@ -111,7 +111,7 @@ def closure_breaker(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source_id", "day", "jobs", "previous", "missing", F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("STA-03", "STA-04", oracle="""
+@query("STA-03", oracle="""
     WITH RECURSIVE s AS (SELECT event_type AS source_id, list_sort(list(DISTINCT date_trunc('day', ts))) AS days FROM events GROUP BY 1),
     k AS (SELECT event_type AS source_id, user_id, list(DISTINCT date_trunc('day', ts)) AS present, min(date_trunc('day', ts)) AS first FROM events GROUP BY 1, 2),
     a AS (SELECT k.source_id, user_id, present, list_filter(days, lambda x: x >= first) AS days FROM k JOIN s USING (source_id)),
@@ -162,7 +162,7 @@ def completion_guard(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(people, "o_custkey", "left_semi").join(full, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("STA-21", "STA-19", "CLS-13", oracle="""
+@query("STA-21", "STA-19", oracle="""
     SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'fetch' WHEN s_suppkey % 3 = 1 THEN 'observe' ELSE 'ignore' END AS does, CASE WHEN s_acctbal < 0 AND s_nationkey > 0 AND s_suppkey % 4 >= 2 AND s_suppkey < 5000 THEN 183 ELSE 30 END AS days FROM supplier""")
 def mode_gate(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -179,7 +179,7 @@ def import_dry_run(spark: SparkSession, d: str) -> DataFrame:
     return exists_flag(new, old, ["o_custkey"], "known").agg(F.count_if(~F.col("known")).alias("would_insert"), F.count_if("known").alias("would_update"))
 
 
-@query("SNK-03", "DML-07", "DML-09", "DML-10", "DAT-08", oracle="""
+@query("DML-07", "DML-09", "DML-10", "DAT-08", oracle="""
     WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01')
     SELECT 'orders' AS name, count(*) AS rows FROM orders WHERE o_orderkey NOT IN (SELECT * FROM gone) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone)
     UNION ALL SELECT 'audit', count(*) FROM gone UNION ALL SELECT 'orphan_parts', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone))""")

@@ -23,6 +23,15 @@ def _recorded(grouped: DataFrame, kind: str, body) -> DataFrame:
     return grouped.select(n.alias("source_id"), F.lit(kind).alias("kind"), F.concat(F.lit("t"), n).alias("tenant"), F.lit("r").alias("run_id"), F.lit(1).alias("page_no"), F.lit(None).cast("string").alias("cursor"), body.alias("body"))
 
 
+@query("SRC-00", oracle="""SELECT s_suppkey::VARCHAR AS external_id, s_name AS title, 'lever:t' || s_nationkey || ':' || s_suppkey AS stable_key FROM supplier""")
+def recorded_source(spark: SparkSession, d: str) -> DataFrame:
+    """Pages recorded as JSON lines in the shared folder, read by the data source."""
+    k, path = F.col("s_suppkey").cast("string"), scratch(spark, "recorded")
+    job = F.struct(k.alias("id"), F.col("s_name").alias("text"))
+    _recorded(t(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(job).alias("jobs")), "lever", F.to_json("jobs")).write.json(path)
+    return connectors.recorded_pages(spark, path).select("external_id", "title", "stable_key")
+
+
 @query("SRC-04", oracle="""
     SELECT s_nationkey::VARCHAR AS source_id, 'ashby:t' || s_nationkey || ':' || s_suppkey AS stable_key, s_name AS title, 'Tokyo, Osaka' AS location, '2026-07-01' AS published FROM supplier WHERE s_suppkey % 2 = 1""")
 def ashby_pages(spark: SparkSession, d: str) -> DataFrame:
