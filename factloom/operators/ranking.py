@@ -65,14 +65,34 @@ def weighted_claim(queue: DataFrame, lane: str, shares: dict[str, float], limit:
 
 
 def fair_interleave(df: DataFrame, lane: str, weights: dict[str, float], cost: str, order: Sequence[Column | str]) -> DataFrame:
-    """Position of each row when the lane with the least consumed cost per weight goes next.
+    """df with due: how far along a row's turn is when the lane with the least consumed cost per weight goes next.
 
     A row is due when its lane has consumed what stands before it, so sorting by that prefix over the
-    weight gives the order that picking one at a time gives.
+    weight gives the order that picking one at a time gives; `place_by_due` numbers the rows so.
     """
     weight = F.coalesce(*[F.when(F.col(lane) == n, F.lit(float(w))) for n, w in weights.items()])
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy(lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("due", before / weight)
+    return running_before(df, lane, cost, order, "_before").withColumn("due", F.col("_before") / weight).drop("_before")
+
+
+def place_by_due(due: DataFrame, lane: str, weights: dict[str, float], order: Sequence[Column | str]) -> DataFrame:
+    """The rows of fair_interleave with their position (from 1); of rows due together, lanes go in the order of weights."""
+    turn = F.coalesce(*[F.when(F.col(lane) == n, F.lit(i)) for i, n in enumerate(weights)], F.lit(len(weights)))
+    return global_rank(due, F.col("due"), turn, *[F.col(o) if isinstance(o, str) else o for o in order], name="position")
+
+
+def running_before(df: DataFrame, key: str, value: str, order: Sequence[Column | str], name: str) -> DataFrame:
+    """df with the sum of value over the rows of its key that come before, however many rows a key has.
+
+    Rows are range-partitioned by key and order; each range adds its own prefix to the sum of the key's ranges before
+    it, of which there are no more than ranges and keys together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = kept(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(key, "_part").agg(F.sum(value).alias("_sum")).select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = part.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return held.join(sums, (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_at", "_key", "_base", "_own")
 
 
 def greedy_interleave(items: Iterator[tuple[str, float]], weights: dict[str, float]) -> list[int]:

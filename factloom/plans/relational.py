@@ -268,12 +268,14 @@ def weighted_claim(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SRT-07", oracle="""
-    WITH x AS (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 50 WHEN 'O' THEN 30 ELSE 20 END AS w FROM orders)
-    SELECT o_orderkey, o_orderstatus, (coalesce(sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // w)::DOUBLE AS due FROM x""")
+    WITH x AS (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 50 WHEN 'O' THEN 30 ELSE 20 END AS w FROM orders),
+    y AS (SELECT *, coalesce(sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / w AS d FROM x)
+    SELECT o_orderkey, o_orderstatus, floor(d) AS due, row_number() OVER (ORDER BY d, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS position FROM y""")
 def fair_interleave(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long").alias("cost"))
-    due = ranking.fair_interleave(rows, "o_orderstatus", {"F": 50, "O": 30, "P": 20}, "cost", [F.desc("o_totalprice"), "o_orderkey"])
-    return due.select("o_orderkey", "o_orderstatus", F.floor("due").cast("double").alias("due"))
+    weights, order = {"F": 50, "O": 30, "P": 20}, [F.desc("o_totalprice"), "o_orderkey"]
+    placed = ranking.place_by_due(ranking.fair_interleave(rows, "o_orderstatus", weights, "cost", order), "o_orderstatus", weights, order)
+    return placed.select("o_orderkey", "o_orderstatus", F.floor("due").cast("double").alias("due"), "position")
 
 
 @query("PRO-08", oracle="""

@@ -64,15 +64,16 @@ def fold_absences(seen: DataFrame, snapshots: DataFrame, required: int, interval
     """source_id, stable_key, state, count, counted_at after all authoritative snapshots in order of time.
 
     seen: source_id, stable_key, at (times at which it was present); snapshots: source_id, at. A key's life begins with
-    its first presence. Snapshots of a source are one bounded list, not rows repeated for each key and snapshot.
+    its first presence, and every presence begins it anew; so only the snapshots after the last one are stepped through.
+    Snapshots of a source are one list, not rows repeated for each key and snapshot.
     """
     times = snapshots.groupBy("source_id").agg(F.array_sort(F.collect_set("at")).alias("all"))
-    keys = seen.groupBy("source_id", "stable_key").agg(F.collect_set("at").alias("present"), F.min("at").alias("first")).join(times, "source_id")
+    keys = seen.groupBy("source_id", "stable_key").agg(F.max("at").alias("last")).join(times, "source_id")
     interval = F.make_dt_interval(hours=F.lit(interval_hours))
     start = F.struct(F.lit("active").alias("state"), F.lit(0).alias("count"), F.lit(None).cast("timestamp_ntz").alias("counted_at"))
-    relevant = F.filter("all", lambda at: at >= F.col("first"))
-    step = lambda s, at: absence_step(s["state"], s["count"], s["counted_at"], F.array_contains(F.col("present"), at), at, required, interval)
-    return keys.select("source_id", "stable_key", F.aggregate(relevant, start, step).alias("s")).select("source_id", "stable_key", "s.*")
+    later = F.filter("all", lambda at: at > F.col("last"))
+    step = lambda s, at: absence_step(s["state"], s["count"], s["counted_at"], F.lit(False), at, required, interval)
+    return keys.select("source_id", "stable_key", F.aggregate(later, start, step).alias("s")).select("source_id", "stable_key", "s.*")
 
 
 def transitions(old: DataFrame, new: DataFrame, key: str, at: Column) -> DataFrame:
