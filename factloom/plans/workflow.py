@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import jobs, text
-from factloom.operators import retrieval, scoring
+from factloom.functions import jobs, text, urls
+from factloom.operators import facts, retrieval, scoring, tables
 from factloom.operators.ranking import global_rank
 from factloom.plans.catalog import query
 from factloom.plans.collect import each_row
@@ -260,3 +260,30 @@ def sections_by_similarity(spark: SparkSession, d: str) -> DataFrame:
     body = F.when((k % 3 == 0) & (F.col("s_nationkey") % 2 == 0), "we want python").otherwise("nothing")
     sections = t(spark, d, "supplier").select(F.col("s_nationkey").alias("doc"), k.alias("ordinal"), body.alias("text"), F.col("s_acctbal").alias("similarity"))
     return retrieval.rank_sections(sections, "doc", "ordinal", "text", {"skills": (F.lit(False), ["python"])}, similarity="similarity").select("doc", "ordinal")
+
+
+@query("SRC-09", oracle="""
+    SELECT n_nationkey, n_nationkey % 5 > 2 AS public FROM nation""")
+def public_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an address that a host resolves to may be fetched from: no loopback, private or mapped private one."""
+    address = F.get(F.array(*map(F.lit, ("127.0.0.1", "10.0.0.7", "::ffff:192.168.0.1", "8.8.8.8", "2606:4700::1"))), F.col("n_nationkey") % 5)
+    return t(spark, d, "nation").select("n_nationkey", urls.public_address(address).alias("public"))
+
+
+@query("MRG-11", oracle="""
+    SELECT p_partkey, 'kind' AS field FROM part WHERE p_size % 3 = 0""")
+def facts_without_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that are not unknown and have no evidence: an acceptance gate that wants none."""
+    none = F.array().cast("array<string>")
+    parts = t(spark, d, "part").select("p_partkey", "p_size", facts.fact(F.array("p_type")).alias("kind"), facts.fact(none).alias("size"))
+    evidence = parts.where("p_size % 3 <> 0").select("p_partkey", F.lit("kind").alias("field"))
+    return facts.missing_evidence(parts, "p_partkey", ["kind", "size"], evidence)
+
+
+@query("AGG-06", oracle="""
+    SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 IN (0, 3)""")
+def not_one_target(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that break the rule that exactly one of two references is set."""
+    k = F.col("s_suppkey")
+    rows = t(spark, d, "supplier").select("s_suppkey", F.when(k % 4 < 2, k).alias("a"), F.when((k % 4 == 0) | (k % 4 == 2), k).alias("b"))
+    return tables.violations(rows, {"one_target": tables.exactly_one("a", "b")}).select("s_suppkey")

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.operators import combine, entities, facts, ranking, tables
+from factloom.operators import combine, entities, facts, ranking, retrieval, tables
 from factloom.streaming import state, streams
 
 DAY = dt.datetime(2026, 7, 1)
@@ -201,3 +201,21 @@ def test_containment_and_any_key(spark):
         assert [tuple(r) for r in combine.longest_contained(texts, names, "id", "t", "n", few=few).collect()] == [(1, "Acme Robotics")]
     a, b = spark.createDataFrame([(1, "x", None)], "l int, p string, q string"), spark.createDataFrame([(9, "x", None), (8, "y", None)], "r int, p2 string, q2 string")
     assert [tuple(r) for r in combine.any_key_join(a, b, "l", "r", [("q", "q2"), ("p", "p2")]).collect()] == [(1, 9, 2)]
+
+
+def test_quotes_of_fields_that_were_not_asked_for(spark):
+    sections = spark.createDataFrame([(1, "we want python here")], "section_id int, text string")
+    rows = [(1, "skills", "want python", "python"), (1, "other", "want python", "python"), (1, "skills", "want java", "java"), (2, "skills", "want python", "python"), (1, "skills", "want python", "rust")]
+    got = retrieval.valid_quotes(spark.createDataFrame(rows, "section_id int, field string, quote string, raw_value string"), sections, ["skills"]).collect()
+    assert [(r.section_id, r.field, r.quote) for r in got] == [(1, "skills", "want python")]
+
+
+def test_running_sums_over_ranges(spark):
+    """One key holds most rows; every row's prefix is that of one ordered pass."""
+    rows = [("hot" if i % 10 else "cold", i, i % 7) for i in range(2000)] + [(None, i, 1) for i in range(5)]
+    got = ranking.running_before(spark.createDataFrame(rows, "k string, i int, v int"), "k", "v", ["i"], "before").collect()
+    sums = {}
+    for k, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        sums[k, i] = sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + v
+    assert len(got) == len(rows) and all(r.before == sums[r.k, r.i] for r in got)
