@@ -34,6 +34,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: Dictionary size, bytes of records that it is built from, and bytes of records of an archive.
 DICTIONARY, SAMPLE, ARCHIVE = 32_768, 2 << 20, 256 << 20
 LEVEL = 3
+#: Rows that a task turns into records at once. It bounds memory only.
+ROWS = 64
 MANIFEST = "archive string, records long, bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -103,7 +105,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
 
     The payload is the column in UTF-8; null is empty. Payloads of fewer than min_bytes are never revisits. Rows
     with equal page_id and payload are all responses or revisit the same one; a null page_id comes after all others.
-    Pages are shuffled once, by the join that tells revisits; each task of it writes its own archives.
+    Pages are shuffled once, by the join that tells revisits; each task of it writes its own archives. Other columns
+    are not read, whatever their names; pages of any length are written whole; an empty table makes no archive.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -119,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
         fs, root = pafs.FileSystem.from_uri(folder)
         task, made, archive = TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, ROWS) for r in batch.slice(at, ROWS).to_pylist()):
                 if archive is None:
                     archive = Archive(fs, f"{root}/part-{task:05d}-{len(made):03d}.warc.zst")
                 archive.add(record(row["page_id"], row["url"], row["html"].encode("utf-8"), base64.b32encode(row["sha1"]).decode(), row["first"]))
