@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -66,12 +67,12 @@ def is_held(doc_id: int | None, parts: int, part: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts == part
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of a text with A-Z in lower case, split at ASCII white space."""
-    found = (text or "").encode("utf-8").lower()
-    if found.isascii() and not any(c in found for c in b"\x1c\x1d\x1e\x1f"):
-        return found.decode("ascii").split()
-    return [w.decode("utf-8") for w in found.split()]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts in a row, with A-Z in lower case and split at ASCII white space, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    some = pc.not_equal(words, "")
+    return words.filter(some), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def press(values: np.ndarray) -> bytes:
@@ -108,30 +109,30 @@ def pack(docs: DataFrame, parts: int, part: int) -> DataFrame:
     """Blocks of documents with token numbers of the block's vocabulary, its words' hashes, and their counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, name = {}, TaskContext.get().partitionId() << 24
-        ids, held, lengths, coded, size = [], [], [], [], 0
+        name, ids, held, lengths, found, size = TaskContext.get().partitionId() << 24, [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, name, ids, held, lengths, coded, size
-            flat = np.concatenate(coded)
-            counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(number))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8")) for w in number), np.uint64, len(number))
+            nonlocal name, ids, held, lengths, found, size
+            coded = pa.concat_arrays(found).dictionary_encode()
+            flat, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
             row = [pa.array([name]), as_list(pa.array(ids, pa.int64())), as_list(pa.array(held, pa.bool_())), as_list(pa.array(lengths, pa.int32()))]
             row += [pa.array([x], pa.binary()) for x in (press(flat), hashes.tobytes(), press(counts))]
             name += 1
-            number, ids, held, lengths, coded, size = {}, [], [], [], [], 0
+            ids, held, lengths, found, size = [], [], [], [], 0
             return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in PACKED.split(", ")])
 
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = tokens(text)
-                coded.append(np.array([number.setdefault(w, len(number)) for w in found], np.int32))
-                ids.append(doc_id)
-                held.append(is_held(doc_id, parts, part))
-                lengths.append(len(found))
-                size += len(found) + 1
-                if size >= BLOCK:
-                    yield flush()
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            own = batch.column("doc_id").to_pylist()
+            words, counts = tokens(batch.column("text"))
+            found.append(words)
+            ids += own
+            held += [is_held(i, parts, part) for i in own]
+            lengths += counts.tolist()
+            size += len(words) + len(own)
+            if size >= BLOCK:
+                yield flush()
         if ids:
             yield flush()
         give_back()
@@ -234,13 +235,20 @@ class Pairs:
         get = lambda c: [unpress(x) for x in table.column(c).to_pylist()]
         us = [np.cumsum(x) for x in get("u")]
         self.blocks, self.sizes = table.column("block").to_pylist(), [len(x) for x in us]
-        self.u, a = np.unique(np.concatenate(us), return_inverse=True)
+        u, w = np.concatenate(us), np.concatenate(get("w"))
         del us
-        self.w, b = np.unique(np.concatenate(get("w")), return_inverse=True)
-        key, self.where = np.unique(a * len(self.w) + b, return_inverse=True)
-        del a, b
+        names, numbers = np.zeros(0, np.int64), w
+        if len(u) and max(int(u.max()), int(w.max())) >= 1 << 31:  # numbers too large for one key: their places instead
+            (names, u), (numbers, w) = np.unique(u, return_inverse=True), np.unique(w, return_inverse=True)
+        key, self.where = np.unique(u << 32 | w, return_inverse=True)
+        del u, w
+        context = key >> 32
+        new = np.r_[True, context[1:] != context[:-1]] if len(key) else np.zeros(0, bool)
+        self.u, self.context = context[new], np.cumsum(new) - 1
+        self.w, self.word = np.unique(key & 0xFFFFFFFF, return_inverse=True)
+        if len(names):
+            self.u, self.w = names[self.u], numbers[self.w]
         self.c = np.bincount(self.where, np.concatenate(get("n")), len(key)).astype(np.int64)
-        self.context, self.word = key // len(self.w), key % len(self.w)
 
     def messages(self, t: np.ndarray, part: int, keys: list[int]) -> list[dict]:
         """To each owner of words: the numbers of the words here, and the tables at which they are eaten."""
