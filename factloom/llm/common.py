@@ -8,6 +8,7 @@ import math
 import pickle
 import tempfile
 import uuid
+from collections.abc import Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -79,9 +80,9 @@ def field(name: str, of: str = "") -> Column:
     return F.col(f"{of}.{quoted}" if of else quoted)
 
 
-def packed(df: DataFrame, *new: Column) -> DataFrame:
-    """All columns of df in one struct `_user`, beside the new ones, so that no helper column can meet a user's of its name."""
-    whole = F.struct(*[field(c) for c in df.columns]) if df.columns else F.struct(F.lit(0).alias("_none"))
+def packed(df: DataFrame, *new: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """All columns of df, or these, in one struct `_user` beside the new ones, so that no helper column can meet a user's of its name."""
+    whole = F.struct(*[field(c) for c in (df.columns if columns is None else columns)])
     return df.select(whole.alias("_user"), *new)
 
 

@@ -17,6 +17,7 @@ One row a source meets in one task, where the targets are shared out.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,19 +66,19 @@ def position(done: Column, start: Column, end: Column) -> Column:
     return F.when(start == end, done).otherwise((F.sqrt(start * start + 2 * (end - start) * area) - start) / (end - start))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0, rows_per_range: int = 2000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0, rows_per_range: int = 2000, columns: Sequence[str] | None = None) -> DataFrame:
     """docs with size, source_size, target, taken (words, repeats counted), first_position, words_before (of its source, in a round), start and end (of its source's weight).
 
     A null text has size 0 and is not taken, nor is an empty one; a null source is a source, last in order. Rows
     with equal or null doc_ids are separate rows; equal rows are alike, so their order does not matter. Whole rounds
     take every document; the round that ends at the target takes whole documents in the order of
-    MD5(doc_id|text) and part of the one at the boundary. All columns of docs are kept, whatever their names,
-    but those named like the new ones are replaced. An empty table gives an empty table.
+    MD5(doc_id|text) and part of the one at the boundary. All columns of docs are kept, or those asked for, whatever
+    their names, but those named like the new ones are replaced. An empty table gives an empty table.
     """
     digits = min(6, max(1, math.ceil(math.log(max(1, docs.count()) / rows_per_range, 16))))
     source, text = F.col("source").cast("string"), F.coalesce("text", F.lit(""))
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text))
-    sized = packed(docs, words(F.col("text")).alias("size"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"), order.alias("order")).withColumn("range", F.substring("order", 1, digits))
+    sized = packed(docs, words(F.col("text")).alias("size"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"), order.alias("order"), columns=columns).withColumn("range", F.substring("order", 1, digits))
     sums = sized.groupBy("key", "range").agg(F.sum("size").alias("words"), F.first("source").alias("_source"))
     aims = targets(sums.groupBy("key").agg(F.first("_source").alias("_source"), F.sum("words").alias("source_size")), weights, most).drop("_source")
     earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0, rows_per_r
         .withColumn("at", F.when(F.col("taken") > 0, position(F.col("before") / F.col("target"), F.col("start"), F.col("end"))))
     )
     own = {c: F.col(c) for c in ("size", "source_size", "target", "taken", "start", "end")}
-    return unpacked(mixed, docs.columns, **own, first_position=F.col("at"), words_before=F.col("before"))
+    return unpacked(mixed, docs.columns if columns is None else list(columns), **own, first_position=F.col("at"), words_before=F.col("before"))
 
 
 def _range_sorted(rows: DataFrame, partitions: int | None, *keys: Column | str) -> DataFrame:

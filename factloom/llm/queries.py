@@ -60,7 +60,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture.by_position(mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
+    mixed = mixture.by_position(mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), columns=["doc_id"]))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("first_position", 6) + F.lit(0.0)).alias("first_position"))
 
 
