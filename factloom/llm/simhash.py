@@ -37,7 +37,7 @@ from factloom.llm.common import checkpointed, give_back, shuffle_partitions, wri
 
 SEED, BITS = 42, 64
 #: Pairs of nodes opened, and fingerprints compared, at once. Both bound memory only.
-OPEN, COMPARED = 1 << 18, 1 << 21
+OPEN, COMPARED = 1 << 18, 1 << 19
 #: Fingerprints of a subtree, on average, beyond which tries are dealt by one more stretch. It decides copies, no links.
 SUBTREE = 4096
 

@@ -75,9 +75,8 @@ def test_toxicity_is_a_convolution():
 
 def test_toxicity_threshold_of_a_language():
     y = np.array([0.0, 1.0] * 50)
-    everywhere = np.ones(100, bool)
-    assert abs(toxicity.threshold(np.where(y > 0, 1.5, 0.9), y, everywhere) - 1.2) < 0.35
-    assert toxicity.threshold(np.where(y > 0, 1.5, 0.9)[:20], y[:20], everywhere[:20]) == 0 and toxicity.threshold(np.where(y > 0, 1, -1), y, ~everywhere) == 0
+    assert abs(toxicity.threshold(np.where(y > 0, 1.5, 0.9), y) - 1.2) < 0.35
+    assert toxicity.threshold(np.where(y > 0, 1.5, 0.9)[:20], y[:20]) == 0 and toxicity.threshold(np.where(y > 0, 1, -1)[:0], y[:0]) == 0
 
 
 def test_toxicity_labels_that_repeat_or_differ(spark):
