@@ -8,10 +8,12 @@ import math
 import pickle
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,40 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: What bytes.translate needs to lower-case A-Z and turn every other ASCII character that is no digit or letter into a space.
+PLAIN = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: bytes | None) -> list[bytes]:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a lower-cased text in UTF-8; a null has none."""
+    return text.translate(PLAIN).split() if text else []
+
+
+def byte_slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Start, end and texts in UTF-8 of consecutive slices of about `most` bytes; a longer text is a slice of its own."""
+    whole = texts.cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False))
+    at, n = 0, len(whole)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to, whole.slice(at, to - at).to_pylist()
+        at = to
+
+
+def joined(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of known, which has each key once; rows must be a written table, as they are read twice.
+
+    Keys of more rows than a partition's share are told apart by a count that is summed before its shuffle; they
+    are fewer than there are partitions, and their rows of known are broadcast. All other keys are shuffled.
+    """
+    share = max(1000, math.ceil(rows.count() / shuffle_partitions(rows.sparkSession)))
+    hot = checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select(*keys, F.lit(True).alias("_hot")))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    few = checkpointed(known.join(F.broadcast(hot.drop("_hot")), keys, "left_semi"))
+    apart = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys)
+    return apart.unionByName(marked.where("_hot is null").drop("_hot").join(known.hint("shuffle_hash"), keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
