@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,13 +169,14 @@ def skills(text: Column, requirement: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(js(p)), F.struct(F.lit(s).alias("skill"), F.regexp_extract(text, js(p), 0).alias("original"), requirement.alias("requirement"))) for s, p in SKILLS]))
 
 
-def strongest(values: Column, key: str) -> Column:
-    """Of an array of structs with a requirement, each key once, where it first stands, with its strongest requirement."""
+def strongest(values: Column, key: str | Callable[[Column], Column]) -> Column:
+    """Of an array of structs with a requirement, each key (a field or what a function makes) once, where it first stands, with its strongest requirement."""
+    of = key if callable(key) else lambda x: x[key]
     weight = lambda r: F.when(r == "required", 3).when(r == "preferred", 2).otherwise(1)
-    keys = F.array_distinct(F.transform(values, lambda x: x[key]))
+    keys = F.array_distinct(F.transform(values, of))
 
     def best(k: Column) -> Column:
-        own = F.filter(values, lambda x: x[key] == k)
+        own = F.filter(values, lambda x: of(x) == k)
         most = F.array_max(F.transform(own, lambda x: weight(x["requirement"])))
         return F.get(F.filter(own, lambda x: weight(x["requirement"]) == most), 0)
 

@@ -48,15 +48,15 @@ def test_data_source(spark, tmp_path):
 
 def test_documents():
     page = f'<html><body><script type="application/ld+json">{json.dumps(POSTING)}</script></body></html>'
-    kinds = {s["kind"]: s["text"] for s in html.document(page, "schema_org")}
+    kinds = {s["kind"]: s["text"] for s in html.document(page, "schema_org").sections}
     assert kinds["title"] == "Engineer" and kinds["employment"] == "FULL_TIME" and "things" in kinds["responsibilities"]
     plain = "<body><nav>menu</nav><h1>Job</h1><section><h2>勤務地</h2><p>東京都港区<br>駅近く</section><dl><dt>給与</dt><dd>月給22万円</dd></dl></body>"
-    kinds = {s["kind"]: s for s in html.document(plain, "hrmos")}
+    kinds = {s["kind"]: s for s in html.document(plain, "hrmos").sections}
     assert "東京都港区" in kinds["location"]["text"] and kinds["compensation"]["text"] == "月給22万円" and "menu" not in str(kinds)
     with pytest.raises(ValueError):
         html.document("<body></body>", "x")
     props = html.html_text.__module__ and json.dumps({"recruitmentOpenPage": {"name": "Page", "requisitionDetails": [{"name": "雇用形態", "value": "正社員として働きます、長期で"}]}})
-    assert any(s["kind"] == "employment" for s in html.document(f"<div data-react-props='{props}'></div>", "talentio"))
+    assert any(s["kind"] == "employment" for s in html.document(f"<div data-react-props='{props}'></div>", "talentio").sections)
 
 
 def test_text_and_chunks():
