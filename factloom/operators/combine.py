@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.ranking import top_one
+from factloom.operators.ranking import kept, top_one
 
 
 def with_top_one(left: DataFrame, right: DataFrame, keys: Sequence[str], *order: Column | str, how: str = "inner") -> DataFrame:
@@ -15,6 +15,30 @@ def with_top_one(left: DataFrame, right: DataFrame, keys: Sequence[str], *order:
     return left.join(top_one(right, keys, *order), list(keys), how)
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys (none null) of more rows than a partition's share, counted before the shuffle; they are fewer than there are partitions."""
+    share = rows.count() / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select(*keys))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the columns of known, which has each key once; null where it has none. rows are kept, as they are read twice.
+
+    Rows of hot keys meet what is known of them by a broadcast, rows of null keys meet nothing, and only the rest is shuffled.
+    """
+    rows = kept(rows)
+    hot = kept(hot_keys(rows, keys).join(known, list(keys), "left"))
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left")
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    new = [c for c in known.columns if c not in keys]
+    few = marked.where("_hot").drop("_hot").join(F.broadcast(hot), list(keys), "left")
+    rest = marked.where(F.col("_hot").isNull() & ~null).drop("_hot").join(known, list(keys), "left")
+    bare = marked.where(null).drop("_hot").withColumns({c: F.lit(None).cast(known.schema[c].dataType) for c in new})
+    return few.unionByName(rest).unionByName(bare).select(*rows.columns, *new)
+
+
 def exists_flag(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """left with whether right has its key; rows are not multiplied."""
     return left.join(right.select(*keys).distinct().withColumn(name, F.lit(True)), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))

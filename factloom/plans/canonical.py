@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import canonical, facts, tables
+from factloom.operators import canonical, entities, facts, tables
 from factloom.plans.catalog import query
 from factloom.session import scratch
 from factloom.session import table as t
@@ -131,3 +131,36 @@ def published_version(spark: SparkSession, d: str) -> DataFrame:
     tables.publish(nations.where("n_nationkey % 2 = 0"), root)
     tables.publish(nations, root)
     return tables.current(spark, root).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("MRG-04", oracle="""
+    WITH RECURSIVE l AS (SELECT s_suppkey AS record_id, 's' || (s_suppkey % 50) AS canonical_id, 'u' || (s_suppkey % 40) AS url, s_nationkey AS company, s_suppkey % 11 AS posting, 1000 - s_suppkey AS active_from FROM supplier WHERE s_suppkey % 5 > 0),
+    r AS (SELECT 1000000 + c_custkey AS record_id, CASE WHEN c_custkey % 9 > 0 THEN 'u' || (c_custkey % 240) END AS url, c_nationkey AS company, CASE WHEN c_custkey % 13 < 11 THEN c_custkey % 97 END AS posting, c_custkey % 17 = 0 AS had, c_custkey % 10 = 0 AS linked FROM customer),
+    u AS (SELECT url, arg_min(canonical_id, (active_from, record_id)) AS uc FROM l GROUP BY url), p AS (SELECT company, posting, arg_min(canonical_id, (active_from, record_id)) AS pc FROM l GROUP BY ALL),
+    m AS (SELECT r.*, uc, pc, CASE WHEN url IS NOT NULL THEN min(record_id) FILTER (NOT had) OVER (PARTITION BY url) END AS fu, CASE WHEN posting IS NOT NULL THEN min(record_id) FILTER (NOT had) OVER (PARTITION BY company, posting) END AS fp FROM r LEFT JOIN u USING (url) LEFT JOIN p USING (company, posting)),
+    w AS (SELECT record_id, CASE WHEN had THEN 'c900' WHEN linked THEN 'c901' WHEN uc IS NOT NULL THEN uc WHEN fu < record_id THEN NULL ELSE pc END AS fixed, CASE WHEN had THEN 'existing_source' WHEN linked THEN 'official_link' WHEN uc IS NOT NULL OR fu < record_id THEN 'application_url' WHEN pc IS NOT NULL OR fp < record_id THEN 'posting_id' ELSE 'new' END AS merged_by,
+        CASE WHEN fu < record_id THEN fu WHEN fp < record_id THEN fp END AS up FROM m),
+    c AS (SELECT record_id, coalesce(fixed, 'new-' || record_id) AS canonical_id, merged_by FROM w WHERE fixed IS NOT NULL OR up IS NULL UNION ALL SELECT w.record_id, c.canonical_id, w.merged_by FROM w JOIN c ON w.up = c.record_id WHERE w.fixed IS NULL AND w.up IS NOT NULL)
+    SELECT * FROM c""")
+def arrival_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as records that come one by one, in the order of their numbers, against suppliers as linked ones; postings join what URLs do not."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    linked = t(spark, d, "supplier").where("s_suppkey % 5 > 0").select(s.alias("record_id"), text("s", s % 50).alias("canonical_id"), text("u", s % 40).alias("url"), F.col("s_nationkey").alias("company"), (s % 11).alias("posting"), (1000 - s).alias("active_from"), F.lit(None).cast("long").alias("active_to"))
+    c = t(spark, d, "customer")
+    had = c.where("c_custkey % 17 = 0").select((1_000_000 + k).alias("record_id"), F.lit("c900").alias("canonical_id"), *[F.lit(None).cast(kind).alias(n) for n, kind in (("url", "string"), ("company", "int"), ("posting", "long"))], F.lit(0).cast("long").alias("active_from"), F.lit(None).cast("long").alias("active_to"))
+    official = c.where("c_custkey % 10 = 0").select((1_000_000 + k).alias("record_id"), F.lit("c901").alias("canonical_id"))
+    records = c.select((1_000_000 + k).alias("record_id"), F.when(k % 9 > 0, text("u", k % 240)).alias("url"), F.col("c_nationkey").alias("company"), F.when(k % 13 < 11, k % 97).alias("posting"))
+    return canonical.assign_in_order(records, linked.unionByName(had), official)
+
+
+@query("JOI-12", "MRG-04", oracle="""
+    WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_nationkey || ':' || (s_suppkey % 7) AS a, (s_acctbal / 500)::INT || ':' || (s_suppkey % 3) AS b FROM supplier), e AS (SELECT DISTINCT x.id AS i, y.id AS j FROM n x JOIN n y ON x.a = y.a OR x.b = y.b),
+    r AS (SELECT id, id AS root FROM n UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.id) SELECT id, min(root) AS entity FROM r GROUP BY id""")
+def entities_by_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that come in three batches, later ones joining entities of the earlier."""
+    store = entities.Identities(spark, scratch(spark, "identities"), buckets=16)
+    n = t(spark, d, "supplier").select("s_suppkey", F.concat_ws(":", "s_nationkey", (F.col("s_suppkey") % 7)).alias("a"), F.concat_ws(":", F.round(F.col("s_acctbal") / 500).cast("int"), (F.col("s_suppkey") % 3)).alias("b"))
+    for i in range(3):
+        store.add(n.where(F.col("s_suppkey") % 3 == i), "s_suppkey", ["a", "b"])
+    return store.entities()
