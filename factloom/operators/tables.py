@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from factloom.operators.ranking import kept
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,25 +98,131 @@ def exactly_one(*columns: str) -> Column:
     return total == 1
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version directory and points to it; a reader sees the old version or the new one, whole."""
-    spark: SparkSession = df.sparkSession
-    version = f"{root}/version={uuid.uuid4().hex}"
-    df.write.parquet(version)
+def _put_head(spark: SparkSession, root: str, text: str) -> None:
+    """Replaces the head of a table in one rename."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     temp, head = path(f"{root}/.HEAD-{uuid.uuid4().hex}"), path(f"{root}/HEAD")
     out = fs.create(temp)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(temp, head, options)
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Writes a new version directory and points to it; a reader sees the old version or the new one, whole."""
+    version = f"{root}/version={uuid.uuid4().hex}"
+    df.write.parquet(version)
+    _put_head(df.sparkSession, root, version)
     return version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/HEAD", wholetext=True).first()[0]
-    return spark.read.parquet(version)
+    """The rows of a table of versions, or of a BucketTable."""
+    head = spark.read.text(f"{root}/HEAD", wholetext=True).first()[0]
+    if head.startswith("{"):
+        return BucketTable.read_head(spark, json.loads(head))
+    return spark.read.parquet(head)
+
+
+class BucketTable:
+    """A table dealt to buckets by its key, of which a change rewrites only those that it meets.
+
+    The head names the folders of each bucket; it has at most `buckets` times `folders` entries and is replaced in one
+    rename, so that readers see all of a change or nothing. Appends add a folder to the buckets they meet; a bucket of more
+    than `folders` is put into one at its next change. One writer at a time; folders that no head names any more stay for readers of old heads.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 256, folders: int = 16):
+        self.spark, self.root, self.keys, self.buckets, self.folders = spark, root, list(keys), buckets, folders
+
+    def head(self) -> dict:
+        try:
+            return json.loads(self.spark.read.text(f"{self.root}/HEAD", wholetext=True).first()[0])
+        except Exception as e:  # no version yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return {"schema": None, "buckets": {}}
+
+    @staticmethod
+    def read_head(spark: SparkSession, head: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(head["schema"])
+        found = [f for b, folders in head["buckets"].items() if buckets is None or int(b) in buckets for f in folders]
+        return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+    def rows(self) -> DataFrame | None:
+        """All rows; None before the first change."""
+        head = self.head()
+        return self.read_head(self.spark, head) if head["schema"] else None
+
+    def lookup(self, keys: DataFrame) -> DataFrame | None:
+        """The rows of these keys, from their buckets alone."""
+        head = self.head()
+        if not head["schema"]:
+            return None
+        return self.read_head(self.spark, head, self._met(keys)).join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _met(self, rows: DataFrame) -> set[int]:
+        return {r.b for r in rows.select(self._bucket().alias("b")).distinct().collect()}
+
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """Rows by bucket in a new folder: what was written where."""
+        at = f"{self.root}/data/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_bucket", self._bucket())
+        dealt.repartition("_bucket").write.partitionBy("_bucket").parquet(at)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return {int(n.split("=")[1]): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def change(self, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Puts how(old, changes) in place of old, the rows of the buckets that changes meet; changes is kept, as it is read more than once."""
+        changes, head = kept(changes), self.head()
+        met = self._met(changes)
+        schema = StructType.fromJson(head["schema"]) if head["schema"] else changes.schema
+        old = self.read_head(self.spark, {"schema": json.loads(schema.json()), "buckets": head["buckets"]}, met)
+        new = how(old, changes)
+        written = self._write(new)
+        stay = {b: f for b, f in head["buckets"].items() if int(b) not in met}
+        _put_head(self.spark, self.root, json.dumps({"schema": json.loads(new.schema.json()), "buckets": stay | {str(b): [f] for b, f in written.items()}}))
+
+    def append(self, rows: DataFrame) -> None:
+        """Adds rows; a bucket that has too many folders is put into one."""
+        head = self.head()
+        written = self._write(rows)
+        full = [b for b in written if len(head["buckets"].get(str(b), [])) >= self.folders]
+        buckets = dict(head["buckets"])
+        for b, f in written.items():
+            buckets[str(b)] = [*buckets.get(str(b), []), f]
+        head = {"schema": head["schema"] or json.loads(rows.schema.json()), "buckets": buckets}
+        if full:
+            whole = self._write(self.read_head(self.spark, head, full))
+            head["buckets"] |= {str(b): [whole[b]] for b in full}
+        _put_head(self.spark, self.root, json.dumps(head))
+
+
+def append_once(store: BucketTable, rows: DataFrame, hash_: str) -> int:
+    """Adds the rows whose key the store does not have and returns how many; a key that it has with another hash is drift, and an error.
+
+    Nothing is added if anything drifts. Of equal keys in rows one is added; if their hashes differ, that is drift too.
+    """
+    rows = kept(rows)
+    had = store.lookup(rows)
+    both = rows.select(*store.keys, F.col(hash_).alias("_hash"))
+    every = both if had is None else both.unionByName(had.select(*store.keys, F.col(hash_).alias("_hash")))
+    drift = every.groupBy(*store.keys).agg(F.count_distinct("_hash").alias("n")).where("n > 1").drop("n").limit(5).collect()
+    if drift:
+        raise ValueError(f"drift: {', '.join(str(tuple(r)) for r in drift)} came with another {hash_}")
+    new = rows.dropDuplicates(store.keys)
+    new = kept(new if had is None else new.join(had.select(*store.keys), store.keys, "left_anti"))
+    n = new.count()
+    if n:
+        store.append(new)
+    return n

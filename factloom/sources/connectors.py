@@ -6,15 +6,21 @@ run_id, page_no, cursor, body). Pages become one row a job, with what the platfo
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import time
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from factloom.sources.html import job_posting, json_ld, links, location_text, parse
 
@@ -22,6 +28,8 @@ ROW = (
     "source_id string, run_id string, page_no int, is_last_page boolean, next_cursor string, provider_total long, row_source_id string, stable_key string, "
     "external_id string, url string, title string, company string, location string, published string, raw string, error string"
 )
+#: Bytes of objects that a writing task holds before it writes them out.
+PACK_BYTES = 32 << 20
 #: Rows of a full page, where paging is by offset.
 PAGE_SIZE = {"smartrecruiters": 100, "lever": 100, "workday": 20}
 #: The path of one job on platforms that list jobs as links; T is the tenant.
@@ -146,8 +154,40 @@ class _Reader(DataSourceReader):
                     yield from page_rows(json.loads(line))
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Recorded files in the order of their times; an offset is the last file's time and path, so that a stream that starts again goes on behind it.
+
+    A file counts once it has lain for `settle` seconds, as others of its time may still come.
+    """
+
+    def __init__(self, uri: str, settle: float):
+        self.uri, self.settle = uri, settle
+
+    def _files(self) -> list[tuple[int, str]]:
+        fs, root = pafs.FileSystem.from_uri(self.uri)
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        return sorted((f.mtime_ns, f.path) for f in found if f.is_file and f.base_name.endswith((".jsonl", ".json")))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"time": "0", "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        ready = [f for f in self._files() if f[0] <= time.time_ns() - self.settle * 1e9]
+        return {"time": str(ready[-1][0]), "path": ready[-1][1]} if ready else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_File]:
+        after, last = ((int(o["time"]), o["path"]) for o in (start, end))
+        return [_File(p) for t, p in self._files() if after < (t, p) <= last]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        return _Reader(self.uri).read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class RecordedPages(DataSource):
-    """spark.read.format("recorded_pages").option("path", uri): one partition a file of recorded pages."""
+    """spark.read or readStream.format("recorded_pages").option("path", uri): one partition a file of recorded pages; option settle for streams."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,6 +200,140 @@ class RecordedPages(DataSource):
         uri = self.options["path"]
         return _Reader(uri if "://" in uri else f"file://{uri}")
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        uri = self.options["path"]
+        return _StreamReader(uri if "://" in uri else f"file://{uri}", float(self.options.get("settle", "5")))
+
+
+@dataclass
+class _Pack(WriterCommitMessage):
+    """The file that a task wrote; none where it had no rows."""
+
+    name: str | None
+
+
+class _PackWriter(DataSourceWriter):
+    """Each task writes its objects into a file of its own; a commit names the files that count, an abort removes the others.
+
+    What no commit names is no object. Tasks that are still at work when a job is given up may leave such files; `sweep_objects` removes them.
+    """
+
+    def __init__(self, uri: str, name: str):
+        self.uri, self.name = uri, name
+
+    def write(self, iterator: Iterator[Row]) -> _Pack:
+        fs, root = pafs.FileSystem.from_uri(self.uri)
+        found: dict[str, bytes] = {}
+        name, out = f"objects/{uuid.uuid4().hex}.parquet", None
+        kinds = pa.schema([("hash", pa.string()), ("key", pa.string()), ("bytes", pa.binary())])
+
+        def flush() -> None:
+            rows = sorted(found.items())
+            out.write_table(pa.table([[h for h, _ in rows], [f"raw/sha256/{h[:2]}/{h}" for h, _ in rows], [b for _, b in rows]], schema=kinds))
+            found.clear()
+
+        held = 0
+        try:
+            for row in iterator:
+                raw = bytes(row["bytes"])
+                if out is None:
+                    fs.create_dir(f"{root}/objects", recursive=True)
+                    out = pq.ParquetWriter(fs.open_output_stream(f"{root}/{name}"), kinds)
+                found[hashlib.sha256(raw).hexdigest()] = raw
+                held += len(raw)
+                if held > PACK_BYTES:
+                    flush()
+                    held = 0
+            if out:
+                flush()
+        except BaseException:
+            if out:
+                out.close()
+                fs.delete_file(f"{root}/{name}")
+            raise
+        if out:
+            out.close()
+        return _Pack(name if out else None)
+
+    def _commit(self, name: str, messages: list) -> None:
+        fs, root = pafs.FileSystem.from_uri(self.uri)
+        path = f"{root}/commits/{name}.json"
+        if fs.get_file_info(path).type != pafs.FileType.NotFound:  # this batch has been committed before
+            return self._abort(messages)
+        fs.create_dir(f"{root}/commits", recursive=True)
+        with fs.open_output_stream(f"{root}/commits/.{name}") as f:
+            f.write(json.dumps([m.name for m in messages if m and m.name]).encode())
+        fs.move(f"{root}/commits/.{name}", path)
+
+    def _abort(self, messages: list) -> None:
+        fs, root = pafs.FileSystem.from_uri(self.uri)
+        for m in messages:
+            if m and m.name and fs.get_file_info(f"{root}/{m.name}").type != pafs.FileType.NotFound:
+                fs.delete_file(f"{root}/{m.name}")
+
+    def commit(self, messages: list) -> None:
+        self._commit(self.name, messages)
+
+    def abort(self, messages: list) -> None:
+        self._abort(messages)
+
+
+class _StreamPackWriter(_PackWriter, DataSourceStreamWriter):
+    """The same for a stream, whose batches are committed once by their numbers, however often they run."""
+
+    def commit(self, messages: list, batchId: int) -> None:  # noqa: N803
+        self._commit(f"{self.name}-{batchId}", messages)
+
+    def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
+        self._abort(messages)
+
+
+class ContentObjects(DataSource):
+    """write or writeStream.format("content_objects").option("path", uri): stores the column bytes of rows under the SHA-256 of each.
+
+    option name: of the writer, so that several may share a folder. `content_objects` reads what has been committed.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "content_objects"
+
+    def _uri(self) -> str:
+        uri = self.options["path"]
+        return uri if "://" in uri else f"file://{uri}"
+
+    def schema(self) -> str:
+        return "bytes binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _PackWriter(self._uri(), uuid.uuid4().hex)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
+        return _StreamPackWriter(self._uri(), self.options.get("name", "stream"))
+
+
+def sweep_objects(path: str, older_s: float = 86_400) -> int:
+    """Removes files of that age that no commit names; returns how many."""
+    fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    listed = lambda folder: fs.get_file_info(pafs.FileSelector(f"{root}/{folder}", allow_not_found=True))
+    files = [f for f in listed("objects") if f.is_file and f.mtime_ns <= time.time_ns() - older_s * 1e9]
+    named = {n for f in listed("commits") if f.base_name.endswith(".json") for n in json.loads(fs.open_input_stream(f.path).read())}
+    gone = [f.path for f in files if f"objects/{f.base_name}" not in named]
+    for f in gone:
+        fs.delete_file(f)
+    return len(gone)
+
+
+def content_objects(spark: SparkSession, path: str) -> DataFrame:
+    """hash, key, bytes of each object that has been committed, once, however many tasks stored it."""
+    uri = path if "://" in path else f"file://{path}"
+    fs, root = pafs.FileSystem.from_uri(uri)
+    if fs.get_file_info(f"{root}/commits").type == pafs.FileType.NotFound:
+        return spark.createDataFrame([], "hash string, key string, bytes binary")
+    names = [n for r in spark.read.text(f"{uri}/commits/*.json", wholetext=True).collect() for n in json.loads(r[0])]
+    files = spark.read.schema("hash string, key string, bytes binary")
+    return (files.parquet(*[f"{uri}/{n}" for n in names]) if names else spark.createDataFrame([], "hash string, key string, bytes binary")).dropDuplicates(["hash"])
+
 
 def recorded_pages(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(RecordedPages)

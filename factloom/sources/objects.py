@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.tables import current, publish
+from factloom.operators.tables import BucketTable, append_once
 
 
 def key_of(hash_: str) -> str:
@@ -18,37 +18,29 @@ def key_of(hash_: str) -> str:
 
 
 class RawObjects:
-    """Objects as a table of versions: put_if_absent appends what is not there, delete may be repeated."""
+    """Objects as a table dealt to buckets by hash: put_if_absent adds what is not there, delete may be repeated. Either writes in the buckets that it meets alone."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
+        self.spark, self.store = spark, BucketTable(spark, root, ["hash"], buckets)
 
     def table(self) -> DataFrame:
-        try:
-            return current(self.spark, self.root)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], "hash string, key string, bytes binary")
+        rows = self.store.rows()
+        return self.spark.createDataFrame([], "hash string, key string, bytes binary") if rows is None else rows
 
     def put_if_absent(self, objects: DataFrame, column: str = "bytes") -> int:
         """Adds the bytes that are new; returns how many."""
         hash_ = F.sha2(column, 256)
-        rows = objects.select(hash_.alias("hash"), F.concat(F.lit("raw/sha256/"), F.substring(hash_, 1, 2), F.lit("/"), hash_).alias("key"), F.col(column).alias("bytes")).dropDuplicates(["hash"])
-        old = self.table()
-        new = rows.join(old.select("hash"), "hash", "left_anti").cache()
-        n = new.count()
-        if n:
-            publish(old.unionByName(new), self.root)
-        new.unpersist()
-        return n
+        rows = objects.select(hash_.alias("hash"), F.concat(F.lit("raw/sha256/"), F.substring(hash_, 1, 2), F.lit("/"), hash_).alias("key"), F.col(column).alias("bytes"))
+        return append_once(self.store, rows, "hash")
 
     def get(self, hash_: str) -> bytes | None:
-        row = self.table().where(F.col("hash") == hash_).select("bytes").first()
+        found = self.store.lookup(self.spark.createDataFrame([(hash_,)], "hash string"))
+        row = found.select("bytes").first() if found is not None else None
         return bytes(row[0]) if row else None
 
     def delete(self, hashes: DataFrame) -> None:
-        publish(self.table().join(hashes.select("hash"), "hash", "left_anti"), self.root)
+        if self.store.rows() is not None:
+            self.store.change(hashes.select("hash").distinct(), lambda old, gone: old.join(gone, "hash", "left_anti"))
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators.tables import current, publish
+from factloom.operators.tables import BucketTable
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -59,21 +59,17 @@ def lifecycle(stream: DataFrame, required: int = 3, interval_hours: int = 12) ->
     return stream.groupBy("stable_key").applyInPandasWithState(_advance(required, interval_hours * 3600), LIFECYCLE, "state string, missing_count int, counted_at timestamp", "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_batches(root: str, key: str, order: str):
-    """For foreachBatch: merges each batch into the table of versions under root; the newest row of a key wins.
+def merge_batches(root: str, key: str, order: str, buckets: int = 256):
+    """For foreachBatch: merges each batch into the table under root; the newest row of a key wins.
 
-    A batch that runs again writes the same rows, and readers see whole versions.
+    Only the buckets that a batch meets are read and written. A batch that runs again writes the same rows, and readers see whole versions.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            rows = current(spark, root).unionByName(batch)
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
-        publish(newest, root)
+        def newest(old: DataFrame, new: DataFrame) -> DataFrame:
+            rows = old.unionByName(new)
+            return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
+
+        BucketTable(batch.sparkSession, root, [key], buckets).change(batch, newest)
 
     return run
