@@ -109,3 +109,8 @@ def with_occupation(jobs: DataFrame, title: Column, description: Column, name: s
     each = kept(spread(keyed.select("_title", "_text", "_tags").distinct()).withColumn(name, occupations.classify(F.col("_title"), F.col("_text"), F.col("_tags"))))
     few = each.limit(FEW_TITLES + 1).count() <= FEW_TITLES
     return keyed.join(F.broadcast(each) if few else each, ["_title", "_text", "_tags"]).drop("_title", "_text", "_tags")
+
+
+def of_family(jobs: DataFrame, family: str, name: str = "occupation") -> DataFrame:
+    """The jobs whose occupation is of a family, as its first or as a further one."""
+    return jobs.where(F.array_contains(occupations.all_families(F.col(name)), family))

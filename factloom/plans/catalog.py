@@ -28,7 +28,7 @@ def query(*covers: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from factloom.plans import canonical, collect, documents, domain, lives, parsing, recall, relational, scalars, state, workflow  # noqa: F401
+    from factloom.plans import canonical, collect, documents, domain, lives, parsing, promotion, recall, relational, scalars, state, workflow  # noqa: F401
 
 
 load()
