@@ -99,11 +99,6 @@ def content_hash(version: Column, canonical: Column) -> Column:
     return F.sha2(F.concat(F.encode(version, "UTF-8"), F.unhex(F.lit("00")), F.encode(canonical, "UTF-8")), 256)
 
 
-def stable_json(*parts: Column) -> Column:
-    """JSON of named columns with names sorted; null fields are left out as absent ones are."""
-    return F.to_json(F.struct(*parts))
-
-
 def idempotency_key(kind: Column, **parts: Column) -> Column:
     inner = F.struct(*[parts[k].alias(k) for k in sorted(parts)])
     return F.sha2(F.to_json(F.struct(kind.alias("kind"), inner.alias("parts"))), 256)

@@ -18,11 +18,6 @@ def top_one(df: DataFrame, keys: Sequence[str], *order: Column | str, k: int = 1
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Values of the row with the largest `by` of each key, by one aggregation without a sort."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*by)).alias("_v")).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
-
-
 def encode_cursor(**values: object) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, default=str, separators=(",", ":")).encode()).decode().rstrip("=")
 

@@ -28,12 +28,12 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("DOC-06", oracle="""
-    SELECT doc_id, len(text) AS chars, (len(text) > 6000) AS cut FROM documents""")
+    SELECT doc_id, len(text) AS chars, (len(text) > 6000) AS cut, 0::BIGINT AS off FROM documents""")
 def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     """Chunks put together again with the line ends between them have the document's length."""
     c = chunked(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     ends = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("char_end").alias("last"), F.min("char_start").alias("first"), F.sum(F.col("char_end") - F.col("char_start") - F.char_length("text")).alias("off"))
-    return t(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("chars")).join(ends, "doc_id").where("off = 0").select("doc_id", "chars", (F.col("n") > 1).alias("cut"))
+    return t(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("chars")).join(ends, "doc_id").select("doc_id", "chars", (F.col("n") > 1).alias("cut"), "off")
 
 
 def chunked(docs: DataFrame, key: str, text: str, most: int = html.MAX_SECTION) -> DataFrame:

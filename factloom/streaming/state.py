@@ -82,11 +82,6 @@ def transitions(old: DataFrame, new: DataFrame, key: str, at: Column) -> DataFra
     return both.where(~F.col("to_state").eqNullSafe(F.col("from_state"))).withColumn("at", at)
 
 
-def stronger_origin(current: Column, incoming: Column) -> Column:
-    rank = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in ORIGINS.items()], F.lit(0))
-    return F.when(rank(incoming) > rank(current), incoming).otherwise(current)
-
-
 def adopts_source(current: Column, bound_run: Column, incoming: Column) -> Column:
     """A stronger origin takes the candidate over, or an equal one if no authoritative run is bound yet."""
     rank = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in ORIGINS.items()], F.lit(0))

@@ -102,3 +102,8 @@ def test_objects(spark, tmp_path):
     assert store.get(key.first().hash) is None
     with pytest.raises(ValueError):
         objects.key_of("../etc")
+
+
+def test_markdown(spark):
+    table = objects.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string").orderBy("n"), "Title")
+    assert table == "# Title\n\n| n | s |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |\n"
