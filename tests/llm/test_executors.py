@@ -26,7 +26,7 @@ for name in {names!r}:
 """
 
 
-@pytest.mark.parametrize("names", [["op2_vector_graph", "op3_bpe_roundtrip", "op4_toxicity", "op6_simhash", "op7_warc", "op8_pitman_yor_lm", "op9_exact_topk"], ["pipeline"]])
+@pytest.mark.parametrize("names", [["op2_vector_graph", "op3_bpe_roundtrip", "op4_toxicity", "op6_simhash", "op7_warc", "op8_pitman_yor_lm", "op9_exact_topk"], ["op11_winnowing", "op12_vector_codes", "op13_importance_resampling"], ["pipeline"]])
 def test_workers_without_the_package(data, tmp_path, names):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", RUN.format(repo=REPO, tmp=tmp_path, names=names, data=data)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
