@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.ranking import kept, top_one
+from factloom.operators.ranking import global_rank, kept, top_one
 
 
 def with_top_one(left: DataFrame, right: DataFrame, keys: Sequence[str], *order: Column | str, how: str = "inner") -> DataFrame:
@@ -115,6 +115,12 @@ def histogram(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), name)
 
 
+def ranked_histogram(df: DataFrame, key: Column, name: str = "key", collation: str = "ja") -> DataFrame:
+    """Counts with their places (rank, from 1): the largest first, equal ones by a language's order of names, then by code points; a null is last among equals."""
+    counts = df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(counts, F.desc("n"), F.asc_nulls_last(F.collate(F.col(name), collation)), F.col(name))
+
+
 def facet_counts(df: DataFrame, key: str, families: Column, all_families: DataFrame, name: str = "family") -> DataFrame:
     """How many rows each family has, a row once for each of its families; families without rows have 0."""
     each = df.select(key, F.explode(F.array_distinct(families)).alias(name)).groupBy(name).agg(F.count_distinct(key).alias("n"))

@@ -35,11 +35,12 @@ def patch(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def monotone_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], rules: dict[str, str]) -> DataFrame:
-    """Full merge by rule: greatest, least, first (old value unless null), last (new unless null), or (booleans), union (arrays)."""
+    """Full merge by rule: greatest, least, first (old value unless null), last (new unless null), or (booleans), union (arrays), map (keys of both, new values)."""
     values = [c for c in old.columns if c not in keys]
     how = {
         "greatest": lambda a, b: F.greatest(a, b), "least": lambda a, b: F.least(a, b), "first": lambda a, b: F.coalesce(a, b), "last": lambda a, b: F.coalesce(b, a),
         "or": lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), "union": lambda a, b: F.array_union(F.coalesce(a, b), F.coalesce(b, a)),
+        "map": lambda a, b: F.coalesce(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), b, a),
     }
     b = new.withColumnsRenamed({c: f"_new_{c}" for c in values})
     return old.join(b, list(keys), "full").select(*keys, *[how[rules.get(c, "last")](F.col(c), F.col(f"_new_{c}")).alias(c) for c in values])

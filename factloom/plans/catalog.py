@@ -28,7 +28,7 @@ def query(*covers: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from factloom.plans import canonical, collect, documents, domain, extraction, lives, parsing, profiles, promotion, recall, relational, scalars, state, variants, workflow  # noqa: F401
+    from factloom.plans import canonical, collect, documents, domain, expansion, extraction, lives, parsing, profiles, promotion, recall, relational, scalars, state, variants, workflow  # noqa: F401
 
 
 load()

@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -106,6 +107,10 @@ def _linked(kind: str, tenant: str, body: str, page: int) -> tuple[list[dict], s
     for url, label in links(body, LINK_HOSTS[kind]):
         if url.startswith(LINK_HOSTS[kind] + "/") and (m := pattern.match(urlsplit(url).path)):
             jobs.setdefault(m[1], {"identifier": {"value": m[1]}, "url": LINK_HOSTS[kind] + urlsplit(url).path, "title": label or None})
+    if kind == "talentio":  # it also names its pages in escaped JSON
+        at = f"{LINK_HOSTS[kind]}/r/1/c/{tenant}/pages/"
+        for found in re.findall(re.escape(at) + r"(\d+)", unescape(body)):
+            jobs.setdefault(found, {"identifier": {"value": found}, "url": at + found, "title": None})
     if kind != "hrmos":
         return list(jobs.values()), None, True, None
     root = parse(body)
@@ -118,6 +123,13 @@ def _linked(kind: str, tenant: str, body: str, page: int) -> tuple[list[dict], s
     return list(jobs.values()), str(later[0]) if later else None, not later, int(total[0])
 
 
+def category_urls(record: dict) -> Iterator[tuple[str, str, str]]:
+    """(source, run, URL) of the pages by category that the first page of a jobcan collection links to, each once."""
+    if record["kind"] == "jobcan":
+        start = f"{LINK_HOSTS['jobcan']}/{record['tenant']}/list?"
+        yield from ((record["source_id"], record["run_id"], url) for url, _ in links(record["body"] or "", LINK_HOSTS["jobcan"]) if url.startswith(start))
+
+
 def page_rows(record: dict) -> Iterator[tuple]:
     """Rows of one recorded page; an empty page and a page in error have one row without a job."""
     source, kind = record["source_id"], record["kind"]
@@ -340,6 +352,30 @@ def recorded_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("recorded_pages").option("path", path).load()
 
 
+def whole_collections(rows: DataFrame) -> DataFrame:
+    """Jobs of collections that came in several pages (rows as `page_rows` makes them): a job once, as its last page has it, and provider_total the number of a collection's jobs.
+
+    Pages in error and without jobs add nothing. Aggregates are partial, so that a large collection is not gathered.
+    """
+    values = [c for c in rows.columns if c not in ("source_id", "run_id", "stable_key", "provider_total")]
+    last = F.max_by(F.struct(*values), F.struct("page_no", "raw")).alias("_last")
+    jobs = rows.where("stable_key is not null and error is null").groupBy("source_id", "run_id", "stable_key").agg(last)
+    totals = jobs.groupBy("source_id", "run_id").agg(F.count(F.lit(1)).alias("provider_total"))
+    return jobs.join(totals, ["source_id", "run_id"]).select("source_id", "run_id", "stable_key", "provider_total", "_last.*")
+
+
+def sitemap_records(sitemaps: DataFrame, body: str, tenants: DataFrame | None = None) -> DataFrame:
+    """tenant, external_id, url of the job pages that talentio's sitemap names, each once, of these tenants or of all. Nulls and other pages have none."""
+    loc = F.explode(F.regexp_extract_all(body, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1))
+    url = sitemaps.select(loc.alias("url"))
+    path = F.try_parse_url("url", F.lit("PATH"))
+    form = RECORD_PATHS["talentio"].replace("T", "([^/]+)", 1)
+    found = url.where((F.try_parse_url("url", F.lit("HOST")) == LINK_HOSTS["talentio"].removeprefix("https://")) & path.rlike(form))
+    tenant, number = F.regexp_extract(path, form, 1), F.regexp_extract(path, form, 2)
+    records = found.select(tenant.alias("tenant"), number.alias("external_id"), F.concat(F.lit(LINK_HOSTS["talentio"] + "/r/1/c/"), tenant, F.lit("/pages/"), number).alias("url")).distinct()
+    return records if tenants is None else records.join(tenants.select("tenant").distinct(), "tenant", "left_semi")
+
+
 #: Columns of a seed file: platforms' tenants that are known from elsewhere.
 SEED = "kind string, tenantKey string, companyName string"
 
