@@ -86,11 +86,12 @@ def job_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SRC-21", oracle=f"""
-    WITH h AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{h}')" for i, (k, h) in enumerate(crawl.SEARCH_HOSTS.items()))}) v(i, kind, host)), s AS (SELECT n_nationkey AS j, 'size:' || n_nationkey AS shard FROM nation WHERE n_nationkey < 5),
+    WITH h AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{h}')" for i, (k, h) in enumerate(crawl.SEARCH_HOSTS.items()))}) v(i, kind, host)), s AS (SELECT n_nationkey AS j, 'size:' || n_nationkey AS shard FROM nation),
     q AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS spot, '"' || host || '" in:file ' || shard AS query FROM h, s WHERE kind = 'workday' OR j < 3), f AS (SELECT * FROM q WHERE spot < 30), n AS (SELECT count(*) AS n FROM f)
     SELECT ((spot - 7 % n + n) % n)::INTEGER AS place, query FROM f, n""")
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.search_queries(spark, [f"size:{i}" for i in range(5)], seed=7)
+    """Searches with nations as shards, begun at the eighth."""
+    return crawl.search_queries(t(spark, d, "nation").select(F.col("n_nationkey").alias("place"), F.concat(F.lit("size:"), F.col("n_nationkey").cast("string")).alias("shard")), seed=7)
 
 
 @query("SRC-22", oracle="""SELECT 'lever' AS kind, 't' || n_nationkey AS "tenantKey", n_name AS "companyName" FROM nation""")

@@ -8,7 +8,7 @@ import re
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.urls import detect_source, same_site
@@ -121,14 +121,14 @@ def tenants_in_text(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(urls, detect_source)))
 
 
-def search_queries(spark: SparkSession, shards: list[str], seed: int = 0, most: int = 30) -> DataFrame:
-    """place, query: code searches for each platform's host in each shard (three of them but for one platform), the first
-    `most`, begun at seed modulo their number."""
-    hosts = spark.createDataFrame([(i, k, h) for i, (k, h) in enumerate(SEARCH_HOSTS.items())], "i int, kind string, host string")
-    own = F.when(F.col("kind") == "workday", F.lit(shards)).otherwise(F.lit(shards[:3]))
-    each = hosts.select("i", "host", F.posexplode(own).alias("j", "shard")).orderBy("i", "j").limit(most)
-    place = F.row_number().over(Window.orderBy("i", "j")) - 1
-    numbered = each.select(place.alias("at"), F.format_string('"%s" in:file %s', "host", "shard").alias("query"))
+def search_queries(shards: DataFrame, seed: int = 0, most: int = 30) -> DataFrame:
+    """place, query: code searches for each platform's host in each shard (the first three of them but for one platform), the first
+    `most`, begun at seed modulo their number. shards has place (from 0) and shard; only `most` rows are numbered together."""
+    hosts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), F.lit(h).alias("host")) for i, (k, h) in enumerate(SEARCH_HOSTS.items())])
+    each = shards.select(F.col("place").alias("j"), "shard", F.explode(hosts).alias("h")).select("h.*", "j", "shard").where((F.col("kind") == "workday") | (F.col("j") < 3))
+    few = each.orderBy("i", "j").limit(most)
+    at = F.row_number().over(Window.orderBy("i", "j")) - 1
+    numbered = few.select(at.alias("at"), F.format_string('"%s" in:file %s', "host", "shard").alias("query"))
     return numbered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).select(F.pmod(F.col("at") - seed, F.col("n")).cast("int").alias("place"), "query")
 
 

@@ -107,3 +107,12 @@ def test_objects(spark, tmp_path):
 def test_markdown(spark):
     table = objects.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string").orderBy("n"), "Title")
     assert table == "# Title\n\n| n | s |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |\n"
+
+
+def test_search_queries_rotate(spark):
+    shards = spark.createDataFrame([(i, f"s{i}") for i in range(4)], "place int, shard string")
+    plain = [f'"{h}" in:file s{i}' for k, h in crawl.SEARCH_HOSTS.items() for i in range(4 if k == "workday" else 3)][:10]
+    for seed in (0, 3, 13, -1):
+        got = [r.query for r in crawl.search_queries(shards, seed, most=10).orderBy("place").collect()]
+        assert got == plain[seed % 10 :] + plain[: seed % 10]
+    assert crawl.search_queries(shards.where("false")).count() == 0
