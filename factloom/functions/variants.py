@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, VariantType
 
 #: Fixed value: how deep a key is looked for.
 DEEPEST = 8
-_NODES = "array<struct<path: string, value: variant>>"
+_FOUND = "array<struct<path: string, value: variant>>"
 
 
 def fields(v: Column) -> Column:
@@ -47,12 +47,16 @@ def records(df: DataFrame, document: str, schema: StructType | str, strict: bool
     return each.select(*others, *typed)
 
 
+def _node(path: Column, value: Column) -> Column:
+    """A value with its path, as an object and as an array, each read once."""
+    return F.struct(path.alias("path"), fields(value).alias("o"), elements(value).alias("a"))
+
+
 def _children(node: Column) -> Column:
-    """The children of a node, with their paths: fields as .key, elements as [place], places of equal width so that paths sort by them."""
-    child = lambda step, value: F.struct(F.concat(node["path"], step).alias("path"), value.alias("value"))
-    in_object = F.transform(F.map_entries(fields(node["value"])), lambda e: child(F.concat(F.lit("."), e["key"]), e["value"]))
-    in_array = F.transform(elements(node["value"]), lambda v, i: child(F.format_string("[%06d]", i), v))
-    return F.coalesce(in_object, in_array, F.array().cast(_NODES))
+    """The objects and arrays in a node, with their paths: fields as .key, elements as [place], places of equal width so that paths sort by them."""
+    in_object = F.transform(F.map_entries(node["o"]), lambda e: _node(F.concat(node["path"], F.lit("."), e["key"]), e["value"]))
+    in_array = F.transform(node["a"], lambda v, i: _node(F.concat(node["path"], F.lit("["), F.lpad(i.cast("string"), 6, "0"), F.lit("]")), v))
+    return F.filter(F.coalesce(in_object, in_array), lambda n: n["o"].isNotNull() | n["a"].isNotNull())
 
 
 def find_key(df: DataFrame, document: str, key: str, to: str = "found", deepest: int = DEEPEST) -> DataFrame:
@@ -62,13 +66,12 @@ def find_key(df: DataFrame, document: str, key: str, to: str = "found", deepest:
     A null document, and one that is no object or array, has an empty array. Each level is a projection of its own, so that no level is worked out twice.
     """
     names = [c for c in df.columns if c != to]
-    root = F.when(F.col(document).isNull(), F.array().cast(_NODES)).otherwise(F.array(F.struct(F.lit("$").alias("path"), F.col(document).alias("value"))))
-    level = df.select(*names, root.alias("_level"), F.array().cast(_NODES).alias("_found"))
-    for _ in range(deepest + 1):
-        under = lambda n: F.map_contains_key(fields(n["value"]), key)
-        hit = F.transform(F.filter("_level", lambda n: F.coalesce(under(n), F.lit(False))), lambda n: F.struct(F.concat(n["path"], F.lit("." + key)).alias("path"), fields(n["value"])[key].alias("value")))
-        deeper = F.flatten(F.transform("_level", _children))
-        inner = F.filter(deeper, lambda n: fields(n["value"]).isNotNull() | elements(n["value"]).isNotNull())
+    root = F.filter(F.array(_node(F.lit("$"), F.col(document))), lambda n: n["o"].isNotNull() | n["a"].isNotNull())
+    level = df.select(*names, root.alias("_level"), F.array().cast(_FOUND).alias("_found"))
+    for depth in range(deepest + 1):
+        under = F.filter("_level", lambda n: F.coalesce(F.map_contains_key(n["o"], key), F.lit(False)))
+        hit = F.transform(under, lambda n: F.struct(F.concat(n["path"], F.lit("." + key)).alias("path"), n["o"][key].alias("value")))
+        inner = F.flatten(F.transform("_level", _children)) if depth < deepest else F.col("_level")
         level = level.select(*names, inner.alias("_level"), F.concat("_found", hit).alias("_found"))
     ordered = F.array_sort("_found", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
     return level.select(*names, ordered.alias(to))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import variants
 from factloom.operators.tables import insert_if_absent
 from factloom.plans.catalog import query
+from factloom.session import spread
 from factloom.session import table as t
 
 
@@ -25,7 +26,7 @@ def nested(k: Column, props: Column) -> Column:
     UNION ALL SELECT event_id, '$[000000].k', k FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) WHERE event_id % 5 = 4 AND k IS NOT NULL""")
 def keys_at_any_depth(spark: SparkSession, d: str) -> DataFrame:
     """All values of one key in documents made from events, eight levels deep and no deeper."""
-    made = t(spark, d, "events").select("event_id", F.try_parse_json(nested(F.col("event_id"), F.col("props"))).alias("doc"))
+    made = spread(t(spark, d, "events").select("event_id", "props")).select("event_id", F.try_parse_json(nested(F.col("event_id"), F.col("props"))).alias("doc"))
     found = variants.find_key(made, "doc", "k").select("event_id", F.explode("found").alias("f"))
     return found.select("event_id", F.col("f.path").alias("path"), F.to_json("f.value").alias("value"))
 
