@@ -20,6 +20,12 @@ def nodes(df):
         todo += [children.apply(i) for i in range(children.size())]
 
 
+def most_rows(df) -> int:
+    """The most rows that any step of a collected df put out."""
+    found = [p.metrics().get("numOutputRows") for p in nodes(df)]
+    return max(m.get().value() for m in found if m.isDefined())
+
+
 def _sides(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     return {
@@ -39,3 +45,15 @@ def test_promotion_claims_are_not_multiplied(spark):
     claims = spark.createDataFrame([(1, "w", 5, 9), (1, "w", 5, 9), (1, "w", 6, 9), (1, "v", 5, 9), (None, "w", 5, 9), (1, "w", 5, None)], "attempt_id long, worker string, record_id long, canonical_id long")
     got = promotion.complete(claims, **_sides(spark)).collect()
     assert sorted((r.attempt_id or 0, r.worker, r.record_id, r.canonical_id or 0, r.candidate_id or 0) for r in got) == [(0, "w", 5, 9, 0), (1, "v", 5, 9, 0), (1, "w", 5, 0, 0), (1, "w", 5, 9, 7), (1, "w", 5, 9, 7), (1, "w", 6, 9, 0)]
+
+
+def test_candidates_of_one_url_are_not_paired(spark):
+    """300 candidates of one URL: each has the oldest other one as survivor, and no step has a row for each pair."""
+    k = F.col("id")
+    candidates = spark.range(300).select(k.alias("candidate_id"), F.lit("resolving").alias("state"), F.lit("recent").alias("publication_freshness"), F.when(k % 3 > 0, "u").alias("official_url"), (1000 - k).alias("created_at"))
+    asked = spark.range(300).select(k.alias("candidate_id"), F.lit("resolved").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit("u").alias("official_url"), F.lit(3).alias("source_id"), F.array(F.lit(300)).alias("evidence_ids"))
+    sides = _sides(spark)
+    df = promotion.resolve_candidates(candidates, asked, sides["sources"], sides["relations"], sides["evidence"])
+    reasons = {r.candidate_id: r.reason for r in df.collect()}
+    assert reasons.pop(299) == "strong_duplicate_of:298" and set(reasons.values()) == {"strong_duplicate_of:299"}
+    assert most_rows(df) <= 300
