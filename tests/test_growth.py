@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from factloom.operators import promotion
+from factloom.sources import html
 
 
 def nodes(df):
@@ -57,3 +60,19 @@ def test_candidates_of_one_url_are_not_paired(spark):
     reasons = {r.candidate_id: r.reason for r in df.collect()}
     assert reasons.pop(299) == "strong_duplicate_of:298" and set(reasons.values()) == {"strong_duplicate_of:299"}
     assert most_rows(df) <= 300
+
+
+def test_json_documents_are_walked_once(monkeypatch):
+    """The values of all keys come from one walk, in the order and to the depth of a search for each key."""
+    deep = {"k": 1}
+    for _ in range(12):
+        deep = {"k": [deep, {"description": "d"}], "skills": ["Go"]}
+    found = html.values_by_key(deep)
+    assert all(found.get(key, []) == list(html.find_key(deep, key)) for key in ("k", "description", "skills", "none")) and len(found["k"]) == 5
+
+    def searched(*_):
+        raise AssertionError("one search for each key")
+
+    monkeypatch.setattr(html, "find_key", searched)
+    text = "Python を使う仕事です。長い説明がここに続きます。"
+    assert {s["kind"] for s in html.document(json.dumps({"title": "Engineer", "description": text}), "lever").sections} == {"title", "responsibilities"}
