@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text, urls
 from factloom.plans.catalog import query
+from factloom.session import spread
 from factloom.session import table as t
 from factloom.sources import connectors, crawl, html
 
@@ -136,7 +137,7 @@ def raw_objects(spark: SparkSession, d: str) -> DataFrame:
 def json_sections(spark: SparkSession, d: str) -> DataFrame:
     """JSON answers as sections: the job under its wrapper, keys at any depth, each text once a kind."""
     body = F.to_json(F.struct(F.struct(F.col("p_name").alias("title"), F.struct(F.lit("Tokyo").alias("location")).alias("place"), F.concat(F.lit("<p>"), "p_type", F.lit(" work to be done</p>")).alias("description"), F.array("p_brand").alias("skills")).alias("jobPosting")))
-    found = html.sections(t(spark, d, "part").select("p_partkey", body.alias("raw")), "p_partkey", "raw", "lever")
+    found = html.sections(spread(t(spark, d, "part")).select("p_partkey", body.alias("raw")), "p_partkey", "raw", "lever")
     return found.where("error is null and kind in ('title', 'location', 'responsibilities', 'skills') and locator not rlike '^[$][.]place$'").select("p_partkey", "kind", "text")
 
 

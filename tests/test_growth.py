@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from factloom.operators import promotion
+from factloom.plans import catalog
 from factloom.sources import html
 
 
@@ -76,3 +77,7 @@ def test_json_documents_are_walked_once(monkeypatch):
     monkeypatch.setattr(html, "find_key", searched)
     text = "Python を使う仕事です。長い説明がここに続きます。"
     assert {s["kind"] for s in html.document(json.dumps({"title": "Engineer", "description": text}), "lever").sections} == {"title", "responsibilities"}
+
+
+def test_json_sections_use_all_cores(spark, data):
+    assert catalog.QUERIES["json_sections"](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
