@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.operators import promotion
 from factloom.plans import catalog
 from factloom.sources import html
+from tests.helpers import same_as_sql
 
 
 def nodes(df):
@@ -81,3 +82,9 @@ def test_json_documents_are_walked_once(monkeypatch):
 
 def test_json_sections_use_all_cores(spark, data):
     assert catalog.QUERIES["json_sections"](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_values_with_evidence_parses_versions_once(spark, data, duck):
+    df = catalog.QUERIES["values_with_evidence"](spark, data)
+    same_as_sql(df, duck, catalog.ORACLES["values_with_evidence"])
+    assert sum(p.nodeName() == "MapInArrow" for p in nodes(df.select("*"))) == 1
