@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import promotion
+from factloom.operators import promotion, tables
 from factloom.plans import catalog
 from factloom.sources import html
 from tests.helpers import same_as_sql
@@ -88,3 +88,9 @@ def test_values_with_evidence_parses_versions_once(spark, data, duck):
     df = catalog.QUERIES["values_with_evidence"](spark, data)
     same_as_sql(df, duck, catalog.ORACLES["values_with_evidence"])
     assert sum(p.nodeName() == "MapInArrow" for p in nodes(df.select("*"))) == 1
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store = tables.BucketTable(spark, f"file://{tmp_path}/t", ["id"], buckets=1)
+    store.append(spark.range(1000))
+    assert len(list(tmp_path.glob("t/data/*/*/*.parquet"))) > 1 and store.rows().count() == 1000
