@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,17 +43,30 @@ def body_text(page: Column) -> Column:
     return F.regexp_replace(F.pandas_udf(_body_text, "string")(page), f"[{JS_SPACE}]+", " ")
 
 
-def _listed(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(matches(text, p), name) for name, p in rules]))
+def _parts(pattern: str) -> list[str]:
+    """Texts in lower case of which a match of the pattern holds one: what stands between its bars, without look-arounds and escapes."""
+    plain = re.sub(r"\\(.)", r"\1", re.sub(r"\(\?<?![^)]*\)|\(\?:|\)", "", pattern))
+    return [x.lower() for x in plain.split("|")]
 
 
-def skills(text: Column) -> Column:
-    """Allowed skills in a text, in the order of the list."""
-    return _listed(text, tuple((s, rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])") for s in SKILLS) + CAPABILITIES)
+def _listed(text: Column, rules: tuple[tuple[str, str], ...], lower: Column | None = None) -> Column:
+    """Names of the rules that match. A pattern is slow beside a plain search, so it is tried only where one of its parts stands in the text in lower case."""
+    lower = F.lower(text) if lower is None else lower
 
+    def told(pattern: str) -> Column:
+        found = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in _parts(pattern)])
+        return F.when(F.coalesce(found, F.lit(False)), matches(text, pattern))
 
-def signals(text: Column) -> Column:
-    return _listed(text, SIGNALS)
+    return F.array_compact(F.array(*[F.when(told(p), name) for name, p in rules]))
+
+
+def skills(text: Column, lower: Column | None = None) -> Column:
+    """Allowed skills in a text, in the order of the list. lower: the text in lower case, if it is at hand."""
+    return _listed(text, tuple((s, rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])") for s in SKILLS) + CAPABILITIES, lower)
+
+
+def signals(text: Column, lower: Column | None = None) -> Column:
+    return _listed(text, SIGNALS, lower)
 
 
 def safe_profiles(df: DataFrame, text: str, policy: str) -> DataFrame:
@@ -62,7 +76,7 @@ def safe_profiles(df: DataFrame, text: str, policy: str) -> DataFrame:
     such row does not end the job. A null or empty text has no skills and no signals. Columns named profile or refused are replaced.
     """
     names = [c for c in df.columns if c not in (text, "profile", "refused")]
-    told = df.withColumns({"_skills": skills(F.col(text)), "_signals": signals(F.col(text))})
+    told = df.withColumn("_lower", F.lower(text)).withColumns({"_skills": skills(F.col(text), F.col("_lower")), "_signals": signals(F.col(text), F.col("_lower"))})
     own = [F.col(f"{policy}.{c}").alias(c) for c in df.select(f"{policy}.*").columns if c not in ("skills", "signals", "pii_policy")]
     rule = F.struct(F.lit(False).alias("direct_pii_stored"), F.lit("allowlist_only").alias("extraction_mode"))
     profile = F.struct(*own, F.col("_skills").alias("skills"), F.col("_signals").alias("signals"), rule.alias("pii_policy"))

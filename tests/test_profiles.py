@@ -1,5 +1,7 @@
 """Safe profiles: allowed skills and signals of a page, policies with personal data refused."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from factloom.functions import profiles
@@ -27,3 +29,15 @@ def test_refused_policies(spark):
     assert [r.refused for r in got] == [bad for _, bad in policies] and all((r.profile is None) == r.refused for r in got)
     assert got[0].profile.asDict(True) == {"place": "Tokyo", "languages": ["ja"], "skills": ["Go"], "signals": [], "pii_policy": {"direct_pii_stored": False, "extraction_mode": "allowlist_only"}}
     assert profiles.safe_profiles(df.where("false"), "text", "policy").count() == 0
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    """What a plain search leaves is what the patterns alone find, and the plan has that search."""
+    texts = ["GoAI reacts, SWIFTUI", "next.js Node.JS c# c#x", "Kelvin sKills gitHub actions", "İOS ios", "生成AI 機械学習", "CROSS-CULTURAL webgl", None, ""]
+    df = spark.createDataFrame([(i, t, ("x",)) for i, t in enumerate(texts)], "id int, t string, policy struct<p: string>")
+    rules = tuple((s, rf"(?<![A-Za-z0-9]){re.escape(s)}(?![A-Za-z0-9])") for s in profiles.SKILLS) + profiles.CAPABILITIES
+    plain = lambda rules: F.array_compact(F.array(*[F.when(profiles.matches(F.col("t"), p), n) for n, p in rules]))
+    assert df.where(profiles.skills(F.col("t")) != plain(rules)).count() == df.where(profiles.signals(F.col("t")) != plain(profiles.SIGNALS)).count() == 0
+    told = profiles.safe_profiles(df, "t", "policy").select("id", "refused", "profile.skills", "profile.signals")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan
