@@ -111,6 +111,61 @@ def test_toxicity_trains_on_every_row_up_to_its_bound(spark, monkeypatch):
     assert toxicity.fit(docs, labels).rows == toxicity.fit(docs, labels, max_train=1_000_000).rows
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """About 16,400 labelled rows outside the held-out fifth, 13,100 of them for training: each word that three of those hold is known, in any number of parts."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.translate((F.col("id") / 6).cast("long").cast("string"), "0123456789", "bcdefghijk")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    train = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and zlib.crc32(f"v{r.doc_id}".encode()) % 5]
+    held = Counter(h for r in train for h in toxicity.hashes(r.text))
+    expected = sorted(h for h, n in held.items() if n >= toxicity.MIN_DOCS)
+    assert len(train) > 12_000 and sorted(toxicity.fit(docs, labels).rows) == expected
+    monkeypatch.setattr(toxicity, "SHARE", 20_000)
+    assert sorted(toxicity.fit(docs, labels).rows) == expected
+
+
+def test_toxicity_parts_train_one_network(spark, monkeypatch):
+    """Several parts tell texts apart, and the network depends neither on the order of rows nor on their partitions."""
+    rng = np.random.default_rng(3)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = [" ".join([*rng.choice(words, 12), "vile" if i % 3 == 0 else "fine"]) for i in range(1500)]
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARE", 30_000)
+    net, again = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.rand(1)).repartition(7), labels.repartition(3))
+    assert np.array_equal(net.E, again.E) and np.array_equal(net.v, again.v) and net.shift == again.shift
+    p, _ = net.scorer().score(texts)
+    assert ((p >= 0.5) == (np.arange(1500) % 3 == 0)).mean() > 0.98
+    other = toxicity.fit(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), labels)  # ids of two types still meet
+    assert np.array_equal(net.known, other.known)
+
+
+def test_toxicity_slopes():
+    """Slopes of the embeddings against differences of the loss, over texts of several lengths."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["alpha", "beta", "gammaray", "delta", "epsilon", "zetazetazeta", "eta"]
+    known = sorted({h for w in vocabulary[:-1] for h in toxicity.hashes(w)})
+    net = toxicity.Network(known, np.r_[0.0, rng.normal(size=len(known))])
+    net.E[1:] += rng.normal(size=net.E[1:].shape)
+    hashed, at, lens, y = toxicity.opened(toxicity.coded([" ".join(rng.choice(vocabulary, n)) for n in (0, 1, 2, 3, 7, 40, 9, 12)], [0, 1, 0, 1, 1, 0, 1, 0], False, 0, {}))
+    rows = net.find(hashed)
+    rows[0] = 0
+
+    def loss():
+        logit = net.logits(rows, at, lens)
+        return (np.logaddexp(0, logit) - y * logit).sum()
+
+    some, of_e, _ = net.slopes(rows, at, lens, y)
+    assert len(some)
+    for i, row in enumerate(some):
+        for c in range(toxicity.DIM):
+            was, ends = net.E[row, c], []
+            for e in (0.01, -0.01):
+                net.E[row, c] = was + e
+                ends.append(loss())
+            net.E[row, c] = was
+            assert abs((ends[0] - ends[1]) / 0.02 - of_e[i, c]) < 0.03 * (1 + abs(of_e[i, c]))
+
+
 def test_toxicity_scores_do_not_depend_on_batches(spark, data):
     net = toxicity.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
