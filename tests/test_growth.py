@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import promotion, tables
@@ -94,3 +96,19 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     store = tables.BucketTable(spark, f"file://{tmp_path}/t", ["id"], buckets=1)
     store.append(spark.range(1000))
     assert len(list(tmp_path.glob("t/data/*/*/*.parquet"))) > 1 and store.rows().count() == 1000
+
+
+def test_documents_of_all_orders_are_stored(spark, data):
+    got = {r.o_orderkey for r in catalog.QUERIES["documents_stored"](spark, data).collect()}
+    assert got == {r.o_orderkey for r in spark.read.parquet(f"{data}/orders.parquet").where("o_orderkey % 50 <> 0").collect()}
+
+
+def test_rows_are_staged_only_while_they_are_added(spark, tmp_path):
+    """What an append reads twice is gone afterwards, also if it drifts; only the store's own files stay."""
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: set(shared.rglob("part-*"))
+    store, rows, before = tables.BucketTable(spark, f"file://{tmp_path}/t", ["id"], buckets=2), spark.range(100).withColumn("hash", F.lit("a")), files()
+    assert tables.append_once(store, rows, "hash") == 100 and tables.append_once(store, rows, "hash") == 0
+    with pytest.raises(ValueError, match="drift"):
+        tables.append_once(store, rows.withColumn("hash", F.lit("b")), "hash")
+    assert files() == before and store.rows().count() == 100
