@@ -6,9 +6,10 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from factloom.operators import promotion, tables
+from factloom.operators import extraction, parsing, promotion, tables
 from factloom.plans import catalog
 from factloom.sources import html
 from tests.helpers import same_as_sql
@@ -112,3 +113,20 @@ def test_rows_are_staged_only_while_they_are_added(spark, tmp_path):
     with pytest.raises(ValueError, match="drift"):
         tables.append_once(store, rows.withColumn("hash", F.lit("b")), "hash")
     assert files() == before and store.rows().count() == 100
+
+
+def test_an_extraction_is_stored_as_one_row(spark, tmp_path):
+    """Its children are made where they are read; what a call reads twice is gone afterwards, and a replay writes no file."""
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    made = spark.createDataFrame([(i, i % 3, "lever", "u", '{"title": "Engineer", "salary": "年収 5000000円", "description": "Python and AWS at work"}') for i in range(20)], "version int, record int, source_kind string, source_url string, raw string").withColumn("fetched", F.current_timestamp())
+    store, files = extraction.Extractions(spark, f"file://{tmp_path}/s", buckets=2), lambda: {f for f in shared.rglob("part-*") if "extractions-" in str(f)}
+    before = files()
+    store.add(parsing.parse_versions(made), "version", "record", "fetched")
+    written = set(tmp_path.glob("s/rows/data/*/*/*.parquet"))
+    store.add(parsing.parse_versions(made), "version", "record", "fetched")
+    assert store.stored.rows().count() == 20 and store.rows().count() > 20 * 20 and files() == before
+    assert set(tmp_path.glob("s/rows/data/*/*/*.parquet")) == written
+    bare = parsing.parse_versions(made.withColumn("version", F.col("version") + 100)).withColumn("evidence", F.filter("evidence", lambda e: e["field"] != "skills"))
+    with pytest.raises(PySparkException, match="a value of skills has no evidence"):
+        store.add(bare, "version", "record", "fetched")
+    assert store.stored.rows().count() == 20
