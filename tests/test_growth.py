@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from factloom.functions import jobs, text
 from factloom.operators import extraction, parsing, promotion, tables
 from factloom.plans import catalog
 from factloom.sources import html
@@ -130,3 +131,18 @@ def test_an_extraction_is_stored_as_one_row(spark, tmp_path):
     with pytest.raises(PySparkException, match="a value of skills has no evidence"):
         store.add(bare, "version", "record", "fetched")
     assert store.stored.rows().count() == 20
+
+
+def test_values_meet_their_evidence_without_a_shuffle(spark, data):
+    df = catalog.QUERIES["values_with_evidence"](spark, data)
+    df.collect()
+    assert max(p.metrics().get("shuffleRecordsWritten").get().value() for p in nodes(df) if p.getClass().getSimpleName() == "ShuffleExchangeExec" and p.metrics().get("shuffleRecordsWritten").isDefined()) <= 1500
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    """No text that a pattern matches lacks its plain words, in any case that the pattern accepts."""
+    assert [text.literals(p) for p in (r"\bNode\.?js\b", r"Excel.{0,12}(?:VBA|マクロ)|\bVBA\b", r"\d+|x", "colou?r", "a{2}bc|[def]g")] == [("node",), ("excel", "vba"), (), ("colo",), ("bc", "g")]
+    said = ["JAVA and javascript", "next.JS nodejs", "\u212aubernetes", "typeſcript", "Excel の マクロ", "人工知能", "MS  word", "golang", "none", "", None, "ai\u0130OS"]
+    df = spark.createDataFrame([(x,) for x in said], "t string").coalesce(1)
+    for row in df.select("t", jobs.skills(F.col("t"), F.lit("r"))["skill"].alias("got"), *[F.col("t").rlike(text.js(p)).alias(s) for s, p in jobs.SKILLS]).collect():
+        assert (row.got or []) == [s for s, _ in jobs.SKILLS if row[s]]
