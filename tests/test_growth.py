@@ -146,3 +146,13 @@ def test_patterns_are_tried_where_their_words_stand(spark):
     df = spark.createDataFrame([(x,) for x in said], "t string").coalesce(1)
     for row in df.select("t", jobs.skills(F.col("t"), F.lit("r"))["skill"].alias("got"), *[F.col("t").rlike(text.js(p)).alias(s) for s, p in jobs.SKILLS]).collect():
         assert (row.got or []) == [s for s, _ in jobs.SKILLS if row[s]]
+
+
+def test_short_phrases_are_read_once():
+    """Results of short texts are kept, of long ones not, and never more than so many."""
+    asked = []
+    f = html.remembered(lambda t: asked.append(t) or t.upper())
+    long = "x" * (html.SHORT + 1)
+    assert [f(t) for t in ("a", "b", "a", long, long)] == ["A", "B", "A", long.upper(), long.upper()] and asked == ["a", "b", long, long]
+    assert all(f(str(i)) == str(i) for i in range(2 * html.REMEMBERED)) and len(f.__closure__[1].cell_contents) <= html.REMEMBERED
+    assert (html.section_kind("スキル", "x"), html.section_kind("", "スキル"), html.section_kind("1 スキル", "")) == ("skills", "other", "skills")
